@@ -6,12 +6,14 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Rows and bytes of an Arrow batch, so that a batch of very long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +82,23 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a batch of texts, the words of all texts as places in that list, and where each text's begin and end.
+
+    Words are what str.split() gives; null texts have none.
+    """
+    parts = pc.utf8_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    coded = parts.flatten().dictionary_encode()
+    distinct, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    ends = parts.offsets.to_numpy() - (parts.offsets[0].as_py() if len(parts.offsets) else 0)
+    empty = pc.index(distinct, "").as_py()
+    if empty >= 0:  # white space at an end of a text
+        full = at != empty
+        ends = np.concatenate([[0], np.cumsum(full)])[ends]
+        at = at[full]
+    return distinct, at, ends
+
+
 class Memo(dict):
     """Word -> value, filled in bulk by `fill(words)`; starts anew beyond `most` words, so memory is bounded."""
 
@@ -88,10 +107,11 @@ class Memo(dict):
         self.fill, self.most = fill, most
 
     def learn(self, words) -> None:
-        new = list(set(words).difference(self))
+        words = set(words)
+        new = list(words.difference(self))
         if len(self) + len(new) > self.most:
             self.clear()
-            new = list(set(words))
+            new = list(words)
         if new:
             self.update(zip(new, self.fill(new), strict=True))
 

@@ -123,7 +123,7 @@ def write_segments(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([int(starts[-1])], pa.int64()), pa.array([blob], pa.binary())], ["part", "segment", "documents", "tokens", "dac"])
 
         for batch in batches:
-            for d, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist()), strict=True):
+            for d, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1)), strict=True):
                 doc_ids.append(d)
                 held.append(ids + end)
                 size += len(ids) // 4 + 1

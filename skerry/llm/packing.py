@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int =
         coder = word_ids(tokenizer)
         for batch in batches:
             out = []
-            for d, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist()), strict=True):
+            for d, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1)), strict=True):
                 ids += end
                 for k, a in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[a : a + 4 * size]
