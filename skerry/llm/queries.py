@@ -5,12 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skerry.llm import dac, packing, tiff
-from skerry.llm.common import table
+from skerry.llm import dac, langid, packing, tiff, toxicity
+from skerry.llm.common import crc_of_id, table
 from skerry.llm.wordids import default_path
 
 
+def op1_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(crc_of_id() % 4 != 2))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "worst")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_path())
 
@@ -19,12 +27,18 @@ def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(tiff.page_rows(tiff.media(table(spark, sf_dir, "documents"))))
 
 
+def op7_mixed_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = langid.label(docs, langid.fit(docs.filter(crc_of_id() % 5 != 0)))
+    return labelled.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op10_dac_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_file(table(spark, sf_dir, "documents"), default_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_tiff_pages, op10_dac_token_ids)}
+    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_best_fit_packing, op3_tiff_pages, op7_mixed_language_id, op10_dac_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
