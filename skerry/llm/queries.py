@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import dac, langid, packing, tiff, toxicity
+from skerry.llm import dac, langid, neardup, packing, tiff, toxicity
 from skerry.llm.common import crc_of_id, table
 from skerry.llm.wordids import default_path
 
@@ -33,12 +33,16 @@ def op7_mixed_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op8_weighted_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_dac_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_file(table(spark, sf_dir, "documents"), default_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_best_fit_packing, op3_tiff_pages, op7_mixed_language_id, op10_dac_token_ids)}
+    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_best_fit_packing, op3_tiff_pages, op7_mixed_language_id, op8_weighted_minhash_neardup, op10_dac_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
