@@ -223,3 +223,16 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], spans)], ["doc_id", "lang_pred", "score", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _LABELS)
+
+
+def kept(docs: DataFrame, model: Model, share: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose main language is known and has at least that share of the letters."""
+    arrow(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(held.value)
+        for batch in batches:
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= share for lang, score, _ in labeller.label(batch.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(sift, docs.schema)

@@ -199,8 +199,25 @@ def classes(rows: DataFrame, texts: DataFrame, weights: Weights | None, threshol
     return roots, links
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of docs for each class, with all its columns: that with the least doc_id, nulls last; of equal ones any one."""
+    keep, _ = _nodes(docs, threshold)
+    order = F.struct(F.col("first").isNull(), "first", "node")
+    chosen = keep.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.first").alias("_id"), F.col("o.node").alias("_node"))
+    rows = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_node")), "inner")
+    return rows.dropDuplicates(["_id", "_node"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs(doc_id, text) as (doc_id, class_id, copies, links): copies are documents with the very same text, links those to other texts."""
+    nodes, sketched = _nodes(docs, threshold)
+    ids = nodes.groupBy("root").agg(F.min("first").alias("class_id"))
+    by_node = nodes.join(ids, "root").select("node", "class_id", "copies", "links")
+    return sketched.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "copies", "links")
+
+
+def _nodes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, first, copies, links, root) for each distinct text, and the documents' sketches."""
     arrow(docs.sparkSession)
     weights = corpus_weights(docs)
     sketched = checkpoint(sketches(docs, weights))
@@ -210,7 +227,4 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     nodes = nodes.join(roots, "node", "left").join(degrees, "node", "left").select("node", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
-    nodes = checkpoint(nodes)
-    ids = nodes.groupBy("root").agg(F.min("first").alias("class_id"))
-    by_node = nodes.join(ids, "root").select("node", "class_id", "copies", "links")
-    return sketched.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "copies", "links")
+    return checkpoint(nodes), sketched

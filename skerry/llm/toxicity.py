@@ -301,40 +301,61 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return train([(r["text"], r["toxic"]) for r in rows.orderBy("doc_id", "text").collect()])  # about sum(SAMPLE) rows
 
 
+class Scorer:
+    """Scores texts in one worker; what words say is remembered."""
+
+    def __init__(self, model: Model | None, most: int = 500_000):
+        self.model, self.floor = model, model.floor if model else 0.0
+        self.memo = Memo(self._margins, most)
+
+    def _margins(self, words: list[str]) -> list[float]:
+        units = [units_of(w) for w in words]
+        flat = list(dict.fromkeys(chain.from_iterable(units)))
+        values = dict(zip(flat, np.maximum(self.model.margins(flat), self.floor).tolist(), strict=True))
+        return [max((values[u] for u in us), default=self.floor) for us in units]
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, list[str | None]]:
+        """Scores, and the words that they come from."""
+        worst, which = np.full(len(texts), self.floor), [None] * len(texts)
+        if not self.model:
+            return worst, which
+        distinct, at, ends = split_words(texts)
+        coded = pc.utf8_lower(pc.utf8_trim(distinct, MARKS)).dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)[at]
+        spaced = {i: joined(texts[i].as_py()) for i in np.flatnonzero(pc.match_substring_regex(texts.fill_null(""), SPACED_HINT).to_numpy(zero_copy_only=False))}
+        self.memo.learn([*words, *chain.from_iterable(spaced.values())])
+        values = np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))[at]
+        for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if b > a and values[top := a + int(np.argmax(values[a:b]))] > self.floor:
+                worst[i], which[i] = values[top], words[at[top]]
+            for w in spaced.get(i, ()):
+                if self.memo[w] > worst[i]:
+                    worst[i], which[i] = self.memo[w], w
+        return self.model.probability(worst), which
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs(doc_id, text) as (doc_id, score, worst): score from 0 to 1, and the word that it comes from."""
     arrow(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        floor = model.floor if model else 0.0
-
-        def margins(words: list[str]) -> list[float]:
-            units = [units_of(w) for w in words]
-            flat = list(dict.fromkeys(chain.from_iterable(units)))
-            values = dict(zip(flat, np.maximum(model.margins(flat), floor).tolist(), strict=True))
-            return [max((values[u] for u in us), default=floor) for us in units]
-
-        memo = Memo(margins, 500_000)
+        scorer = Scorer(held.value)
         for batch in batches:
-            worst, which = np.full(batch.num_rows, floor), [None] * batch.num_rows
-            if model:
-                texts = batch.column("text")
-                distinct, at, ends = split_words(texts)
-                coded = pc.utf8_lower(pc.utf8_trim(distinct, MARKS)).dictionary_encode()
-                words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)[at]
-                spaced = {i: joined(texts[i].as_py()) for i in np.flatnonzero(pc.match_substring_regex(texts.fill_null(""), SPACED_HINT).to_numpy(zero_copy_only=False))}
-                memo.learn([*words, *chain.from_iterable(spaced.values())])
-                values = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))[at]
-                for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                    if b > a and values[top := a + int(np.argmax(values[a:b]))] > floor:
-                        worst[i], which[i] = values[top], words[at[top]]
-                    for w in spaced.get(i, ()):
-                        if memo[w] > worst[i]:
-                            worst[i], which[i] = memo[w], w
-            scores = model.probability(worst) if model else worst
+            scores, which = scorer.score(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(which, pa.string())], ["doc_id", "score", "worst"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, worst string")
 
+
+def kept(docs: DataFrame, model: Model | None, limit: float) -> DataFrame:
+    """The rows of docs, with all their columns, that score below limit."""
+    arrow(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.score(batch.column("text"))[0] < limit))
+
+    return docs.mapInArrow(sift, docs.schema)

@@ -121,3 +121,11 @@ def test_components(spark):
     got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in linked}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_each(spark):
+    rows = copies()
+    docs = spark.createDataFrame([(d, t, d, "x") for d, t in rows], "doc_id long, text string, node long, root string")
+    got = neardup.one_of_each(docs.unionAll(docs))
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(brute_classes(rows).values()))
