@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import dac, langid, neardup, packing, paragraphs, qalsh, tiff, toxicity
+from skerry.llm import dac, langid, neardup, packing, paragraphs, pieces, qalsh, tiff, toxicity
 from skerry.llm.common import crc_of_id, table
 from skerry.llm.wordids import default_path
 
@@ -27,6 +27,11 @@ def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(tiff.page_rows(tiff.media(table(spark, sf_dir, "documents"))))
 
 
+def op4_merge_dropout_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = pieces.default_path()
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+
+
 def op5_collision_counting_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return qalsh.neighbours(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -51,7 +56,7 @@ def op10_dac_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_best_fit_packing, op3_tiff_pages, op5_collision_counting_neighbours, op7_mixed_language_id, op8_weighted_minhash_neardup, op9_paragraph_minhash_dedup, op10_dac_token_ids)}
+    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_best_fit_packing, op3_tiff_pages, op4_merge_dropout_pieces, op5_collision_counting_neighbours, op7_mixed_language_id, op8_weighted_minhash_neardup, op9_paragraph_minhash_dedup, op10_dac_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
