@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import dac, langid, neardup, packing, paragraphs, pieces, qalsh, tiff, toxicity
+from skerry.llm import dac, html, langid, neardup, packing, paragraphs, pieces, qalsh, tiff, toxicity
 from skerry.llm.common import crc_of_id, table
 from skerry.llm.wordids import default_path
 
@@ -37,6 +37,10 @@ def op5_collision_counting_neighbours(spark: SparkSession, sf_dir: str) -> DataF
     return qalsh.neighbours(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op6_boosted_tree_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_mixed_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labelled = langid.label(docs, langid.fit(docs.filter(crc_of_id() % 5 != 0)))
@@ -56,7 +60,7 @@ def op10_dac_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_best_fit_packing, op3_tiff_pages, op4_merge_dropout_pieces, op5_collision_counting_neighbours, op7_mixed_language_id, op8_weighted_minhash_neardup, op9_paragraph_minhash_dedup, op10_dac_token_ids)}
+    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_best_fit_packing, op3_tiff_pages, op4_merge_dropout_pieces, op5_collision_counting_neighbours, op6_boosted_tree_main_text, op7_mixed_language_id, op8_weighted_minhash_neardup, op9_paragraph_minhash_dedup, op10_dac_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
