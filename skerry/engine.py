@@ -41,10 +41,13 @@ class Engine:
         spark.conf.set("spark.sql.caseSensitive", "true")
         self.spark, self.store = spark, TableStore(spark, root) if root else None
         self.functions = Functions()
-        self._frames: dict[str, tuple[DataFrame, tuple[str, ...]]] = {}
+        self._frames: dict[str, tuple[DataFrame | Callable[[], DataFrame], tuple[str, ...]]] = {}
 
-    def register(self, name: str, df: DataFrame, key: Sequence[str] = ()) -> None:
-        """Makes a DataFrame a relation that queries can read; key orders its rows where ORDER BY leaves ties."""
+    def register(self, name: str, df: DataFrame | Callable[[], DataFrame], key: Sequence[str] = ()) -> None:
+        """Makes a DataFrame a relation that queries can read; key orders its rows where ORDER BY leaves ties.
+
+        A function that gives the DataFrame is called when a query first names it, so files that no query reads are never opened.
+        """
         self._frames[name] = (df, tuple(key))
 
     def register_udf(self, name: str, function: Callable, signature: str, vector: bool = True) -> None:
@@ -61,6 +64,9 @@ class Engine:
             return out
         if name in self._frames:
             df, key = self._frames[name]
+            if not isinstance(df, DataFrame):
+                df = df()
+                self._frames[name] = (df, key)
             return relation(df, alias or name, df.columns, None, key)
         raise EngineError(f"Table: {name} not found")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def engine(spark: SparkSession, sf_dir: str, root: str | None = None) -> Engine:
     """An engine that knows the driver's tables."""
     e = Engine(spark, root)
     for name, key in TABLES.items():
-        e.register(name, r.scan(spark, sf_dir, name), key)
+        e.register(name, partial(r.scan, spark, sf_dir, name), key)
     return e
 
 
