@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Rows and bytes of an Arrow batch, so that a batch of very long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2500, 5 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +102,27 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return distinct, at, ends
 
 
+_HELD: dict = {}
+
+
+def only(key, make):
+    """What make() gives, kept for later tasks of this worker process until another key is asked for: a worker holds one such thing at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def forget() -> None:
+    """Lets go of what this worker process holds."""
+    if _HELD:
+        only(None, lambda: None)
+
+
 class Memo(dict):
     """Word -> value, filled in bulk by `fill(words)`; starts anew beyond `most` words, so memory is bounded."""
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import U64, Memo, arrow, mix, split_words
+from skerry.llm.common import U64, Memo, arrow, forget, mix, only, split_words
 
 #: At most so many documents of each language teach the model.
 SAMPLE = 400
@@ -136,6 +137,7 @@ def fit(docs: DataFrame) -> Model:
     sample = known.filter(F.col("h").cast("double") < share[F.col("lang")]).select("lang", "text").repartition(8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         totals: dict[str, np.ndarray] = {}
         seen: dict[tuple[str, str], int] = {}
         for batch in batches:
@@ -169,7 +171,7 @@ _WORD = re.compile(r"\S+")
 class Labeller:
     """Labels texts in one worker; scores of words are remembered."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 220_000):
         self.model = model
         self.scores = np.zeros((1024, len(model.languages)), np.float32)
         self.letters = np.zeros(1024, np.int64)
@@ -213,10 +215,10 @@ class Labeller:
 def label(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text) as (doc_id, lang_pred, score, spans); score is the share of letters in spans of lang_pred."""
     arrow(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
+    held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # BUCKETS numbers a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(held.value)
+        labeller = only(key, lambda: Labeller(held.value))
         spans = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("letters", pa.int64())]))
         for batch in batches:
             out = labeller.label(batch.column("text"))
@@ -228,10 +230,10 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
 def kept(docs: DataFrame, model: Model, share: float) -> DataFrame:
     """The rows of docs, with all their columns, whose main language is known and has at least that share of the letters."""
     arrow(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(held.value)
+        labeller = only(key, lambda: Labeller(held.value))
         for batch in batches:
             yield batch.filter(pa.array([lang != UNKNOWN and score >= share for lang, score, _ in labeller.label(batch.column("text"))], pa.bool_()))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import U64, arrow, checkpoint, mix
+from skerry.llm.common import U64, arrow, checkpoint, forget, mix
 from skerry.llm.neardup import band_keys, classes
 from skerry.llm.shingles import distinct_counts, shingles, word_hashes
 
@@ -48,6 +48,7 @@ def signed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     bands = bands_for(threshold, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)

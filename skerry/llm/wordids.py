@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from skerry.llm.common import Memo, split_words
+from skerry.llm.common import Memo, only, split_words
 
 #: Characters at which str.split() parts a text but the tokenizer's white space does not, and the marks of added tokens.
 _UNSAFE = "[\\x1c-\\x1f]|<\\|"
@@ -35,22 +35,26 @@ class WordIds:
     with characters for which the above does not hold. Null and empty texts: no ids. At most about `most` runs are remembered.
     """
 
-    def __init__(self, path: str, most: int = 450_000):
+    def __init__(self, path: str, most: int = 220_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self._tokenizer, self._bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self._bare.normalizer = normalizers.Sequence([])
-        self._bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self._last = np.zeros(max(self._bare.get_vocab().values()) + 1, bool)
-        self._last[[i for word, i in self._bare.get_vocab().items() if word.endswith("</w>")]] = True
+        self._tokenizer = Tokenizer.from_file(path)
+        #: The file's own steps before the model, and those that letter runs need: none but the byte alphabet.
+        self._own = (self._tokenizer.normalizer, self._tokenizer.pre_tokenizer)
+        self._bare = (normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))
+        ids = self._tokenizer.get_vocab()
+        self._last = np.zeros(max(ids.values()) + 1, bool)
+        self._last[[i for word, i in ids.items() if word.endswith("</w>")]] = True
         self._runs, self._others = Memo(self._of_runs, most), Memo(lambda words: list(map(self._library, words)), most // 4)
 
     def _library(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _of_runs(self, runs: list[str]) -> list[bytes]:
-        ids = np.array(self._bare.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        self._tokenizer.normalizer, self._tokenizer.pre_tokenizer = self._bare
+        ids = np.array(self._tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        self._tokenizer.normalizer, self._tokenizer.pre_tokenizer = self._own
         cuts = np.concatenate([[0], np.flatnonzero(self._last[ids]) + 1])
         if len(cuts) != len(runs) + 1:  # a run that the pre-tokenizer parts once more
             return list(map(self._library, runs))
@@ -87,11 +91,6 @@ class WordIds:
         return [self._library(texts[i].as_py()) if i in unsafe else flat[a:b].tobytes() for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
-_LOADED: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    """One encoder for each worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+    """The worker process's encoder for a file."""
+    return only(("word ids", path), lambda: WordIds(path))
