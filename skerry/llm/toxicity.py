@@ -16,6 +16,7 @@ null don't teach; without labels of both kinds every score is 0; repeated rows g
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -28,17 +29,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import Memo, arrow, split_words
+from skerry.llm.common import Memo, arrow, only, split_words
 
 #: At most about so many labelled documents, clean and toxic, teach the model; of the clean ones' units, so many.
 SAMPLE, CLEAN_UNITS = (3000, 1500), 30_000
 #: Kernel: weight of a character spanned, weight of common pairs against common triples, most characters in a unit.
 DECAY, PAIRS, WINDOW = 0.6, 0.5, 9
 LANDMARKS = 40
+#: Of these, as many are kept for clean units that earlier rounds took for toxic.
+HARD = 15
 #: Stands before the first unit of a word, so that the kernel knows beginnings.
 BEGIN = "\x02"
 #: What an n-gram must say for toxicity, in nats, above the logarithm of how many n-grams there are.
 EVIDENCE = 1.5
+#: At most this share of clean documents may have log odds above LOW, which is a score of 0.25; but margins above SURE may always.
+CALM, LOW, SURE = 0.01, -1.1, 0.8
 
 _SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]{0,2}[ \t]+){2,}\w(?!\w)")
 #: In every text with such a run, in the syntax of Arrow's regular expressions.
@@ -239,40 +244,65 @@ def train(docs: list[tuple[str, int]]) -> Model | None:
     find = re.compile("|".join(map(re.escape, sorted(marks, key=len, reverse=True))))
     seen = Counter(u for words in toxic for w in words if find.search(w) for u in units_of(w) if find.search(u))
     positive = [u for u, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:2000]]
-    pool = sorted({u for words in clean for w in words for u in units_of(w)} - set(positive))
+    held_by: Counter = Counter()  # clean units, and in about how many documents each is
+    for w, n in frequent.items():
+        for u in units_of(w):
+            held_by[u] += n
+    for u in positive:
+        held_by.pop(u, None)
+    # all clean units that several documents hold, and of the others some
+    pool = sorted(u for u, n in held_by.items() if n > 2)
+    rest = sorted(u for u, n in held_by.items() if n <= 2)
     rng = np.random.default_rng(7)
     if len(pool) > CLEAN_UNITS:
-        pool = [pool[i] for i in sorted(rng.choice(len(pool), CLEAN_UNITS, replace=False))]
-    common = [u for w, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:8000] for u in units_of(w)]
-    pool = list(dict.fromkeys(common + pool))
-    # Landmarks: for each n-gram in turn its commonest unit; then the clean units most like those, by turns; then common ones.
+        pool = sorted(sorted(pool, key=lambda u: (-held_by[u], u))[:CLEAN_UNITS])
+    if len(rest) > CLEAN_UNITS:
+        rest = [rest[i] for i in sorted(rng.choice(len(rest), CLEAN_UNITS, replace=False))]
+    pool += rest
+    share = np.array([held_by[u] for u in pool], float) / len(clean)
+    # Landmarks: for each n-gram in turn its commonest unit, then the clean units most like those, by turns.
     landmarks: list[str] = []
-    for g in marks[: LANDMARKS * 3 // 4]:
+    for g in marks[: LANDMARKS // 2]:
         if (u := next((p for p in positive if g in p and p not in landmarks), None)) is not None:
             landmarks.append(u)
     alike = kernel(pool, landmarks)
     nearest = [pool[i] for row in np.argsort(-alike, axis=0, kind="stable")[:8] for i in row]
-    landmarks += [u for u in dict.fromkeys(nearest) if u not in landmarks][: LANDMARKS - 6 - len(landmarks)]
-    landmarks += [u for u in dict.fromkeys(common) if u not in landmarks][: LANDMARKS - len(landmarks)]
-    own = kernel(landmarks, landmarks).astype(np.float64)
-    values, vectors = np.linalg.eigh(own)
-    whiten = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
-    chosen = list(dict.fromkeys(common[:500] + pool[:: max(1, len(pool) // 2000)]))
-    pool_k, positive_x = kernel(pool, landmarks), kernel(positive, landmarks) @ whiten
-    for _ in range(3):
-        x = np.vstack([positive_x, kernel(chosen, landmarks) @ whiten])
-        y = np.array([1.0] * len(positive) + [-1.0] * len(chosen))
-        weight = np.array([len(chosen) / len(positive)] * len(positive) + [1.0] * len(chosen)) / len(chosen) * 500
+    landmarks += [u for u in dict.fromkeys(nearest) if u not in landmarks][: max(0, LANDMARKS - HARD - len(landmarks))]
+    # Rounds: units that score as toxic become examples, and the most widespread of them landmarks.
+    chosen = set(np.argsort(-share, kind="stable")[:3000].tolist()) | set(range(0, len(pool), max(1, len(pool) // 2000)))
+    pool_k, positive_k = kernel(pool, landmarks), kernel(positive, landmarks)
+    rounds = 4
+    for turn in range(rounds):
+        values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
+        whiten = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
+        near = sorted(chosen)
+        x = np.vstack([positive_k, pool_k[near]]) @ whiten
+        y = np.array([1.0] * len(positive) + [-1.0] * len(near))
+        spread = 1 + np.minimum(50 * np.sqrt(share[near]), 10)
+        weight = np.concatenate([np.full(len(positive), 500 / len(positive)), 500 * spread / spread.sum()])
         w, bias = machine(x, y, weight)
-        worst = np.argsort(-(pool_k @ (whiten @ w)), kind="stable")[:1500]
-        chosen = list(dict.fromkeys(chosen + [pool[i] for i in worst]))
+        margins = pool_k @ (whiten @ w) + bias
+        chosen |= set(np.argsort(-margins, kind="stable")[:1500].tolist())
+        if turn < rounds - 1:
+            worst = np.argsort(-np.maximum(margins + 0.7, 0) * np.sqrt(share), kind="stable")
+            fresh = [pool[i] for i in worst[: 3 * LANDMARKS] if pool[i] not in landmarks and margins[i] > -0.7][: -(-HARD // (rounds - 1))]
+            fresh = fresh[: LANDMARKS - len(landmarks)]
+            if fresh:
+                landmarks += fresh
+                pool_k, positive_k = np.hstack([pool_k, kernel(pool, fresh)]), np.hstack([positive_k, kernel(positive, fresh)])
     model = Model(landmarks, (whiten @ w).astype(np.float32), bias, 1.0, 0.0, -2.0)
     # The worst unit of each document, by one bulk pass over the distinct units.
     units = sorted({u for words in toxic + shown for w in words for u in units_of(w)})
     margin = dict(zip(units, model.margins(units).tolist(), strict=True))
     worst_of = np.array([max((margin[u] for w in words for u in units_of(w)), default=model.floor) for words in toxic + shown])
     label = np.array([1.0] * len(toxic) + [0.0] * len(shown))
-    model.slope, model.shift = logistic(np.tanh(np.maximum(worst_of, model.floor)), label, np.array([1.0] * len(toxic) + [3.0] * len(shown)))
+    bounded = np.tanh(np.maximum(worst_of, model.floor))
+    model.slope, model.shift = logistic(bounded, label, np.array([1.0] * len(toxic) + [3.0] * len(shown)))
+    # of the clean documents kept aside no more than CALM may come near the usual limit of 0.3, unless they look toxic through and through
+    calm = min(float(np.quantile(bounded[len(toxic) :], 1 - CALM)), np.tanh(SURE))
+    if model.slope * calm + model.shift > LOW:
+        model.slope = max(model.slope, -LOW / (np.tanh(1.0) - calm))  # a margin of 1 still means more likely toxic than not
+        model.shift = LOW - model.slope * calm
     return model
 
 
@@ -304,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 class Scorer:
     """Scores texts in one worker; what words say is remembered."""
 
-    def __init__(self, model: Model | None, most: int = 500_000):
+    def __init__(self, model: Model | None, most: int = 220_000):
         self.model, self.floor = model, model.floor if model else 0.0
         self.memo = Memo(self._margins, most)
 
@@ -337,10 +367,10 @@ class Scorer:
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs(doc_id, text) as (doc_id, score, worst): score from 0 to 1, and the word that it comes from."""
     arrow(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer = only(key, lambda: Scorer(held.value))
         for batch in batches:
             scores, which = scorer.score(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(which, pa.string())], ["doc_id", "score", "worst"])
@@ -351,10 +381,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 def kept(docs: DataFrame, model: Model | None, limit: float) -> DataFrame:
     """The rows of docs, with all their columns, that score below limit."""
     arrow(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer = only(key, lambda: Scorer(held.value))
         for batch in batches:
             yield batch.filter(pa.array(scorer.score(batch.column("text"))[0] < limit))
 
