@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import U64, arrow, checkpoint, mix, written
+from skerry.llm.common import U64, arrow, checkpoint, forget, mix, written
 from skerry.llm.graph import components
-from skerry.llm.shingles import HASH_BITS, count_cells, distinct_counts, maybe_among, shingles, word_hashes
+from skerry.llm.shingles import HASH_BITS, count_cells, distinct_counts, key_filter, shingles, sifted, word_hashes
 
 THRESHOLD = 0.8
 #: Bands and samples in each: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**3)**8 = 0.997.
@@ -116,6 +116,7 @@ def sketches(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int =
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             hashes, text, counts = distinct_counts(*shingles(*word_hashes(batch.column("text"))))
             begins = np.flatnonzero(np.diff(text, prepend=-1))
@@ -146,6 +147,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights | None, thresh
     named = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for side in ("a", "b"):
@@ -180,11 +182,12 @@ def classes(rows: DataFrame, texts: DataFrame, weights: Weights | None, threshol
     """rows(bucket, node) and texts(node, text): (node, root) of nodes with links, and the links (a, b)."""
     candidates = checkpoint(first_candidates(rows))
     tried = candidates
-    nodes = candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    few = rows.join(nodes.withColumnRenamed("key", "node"), "node", "left_semi").distinct()
-    few = checkpoint(few)  # buckets of nodes that have met another
-    needed = maybe_among(texts, "node", nodes).dropDuplicates(["node"])
-    needed = written(needed.join(nodes.withColumnRenamed("key", "node"), "node", "left_semi"), "texts")
+    nodes = checkpoint(candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    bits, wanted = key_filter(nodes), nodes.withColumnRenamed("key", "node")
+    # the buckets of nodes that have met another; distinct before the join, so that a node with many copies is one row by then
+    few = checkpoint(sifted(rows, "node", bits).distinct().join(wanted, "node", "left_semi"))
+    needed = sifted(texts, "node", bits).dropDuplicates(["node"])
+    needed = written(needed.join(wanted, "node", "left_semi"), "texts")
     links = checkpoint(verified(candidates, needed, weights, threshold))
     roots = components(links)
     for turn in range(1, rounds):

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import U64, mix, split_words
+from skerry.llm.common import U64, forget, mix, split_words
 
 #: Words in a shingle.
 WORDS = 5
@@ -92,6 +92,7 @@ def count_cells(rows: DataFrame, cells: int, which: Callable[[pa.RecordBatch], n
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         totals = np.zeros(cells, np.int64)
         for batch in batches:
             totals += np.bincount(which(batch), minlength=cells)
@@ -118,23 +119,26 @@ def _blocks(keys: list[int], blocks: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([zlib.compress(np.minimum(b, 2**32 - 1).astype("<u4").tobytes(), 1) for b in blocks], pa.binary())], ["chunk", "counts"])
 
 
-#: Cells of the filter that `maybe_among` uses.
+#: Bits of the filter that `key_filter` makes.
 FILTER_CELLS = 1 << 21
 
 
-def maybe_among(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """rows without most of those whose key (a long) is not in keys(key); none is lost whose key is there.
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit for each cell that a key of keys(key) falls in: FILTER_CELLS bits, whatever keys holds."""
+    return count_cells(keys.select("key"), FILTER_CELLS, lambda b: _cell(b.column(0))) > 0
 
-    The filter has FILTER_CELLS bits whatever keys holds. Where keys are too many it lets more rows through.
-    """
-    cells = count_cells(keys.select("key"), FILTER_CELLS, lambda b: (mix(b.column(0).to_numpy(zero_copy_only=False).view(U64)) % U64(FILTER_CELLS)).astype(np.int64))
-    held = rows.sparkSession.sparkContext.broadcast(cells > 0)
-    names, schema = rows.columns, rows.schema
+
+def _cell(keys: pa.Array) -> np.ndarray:
+    return (mix(keys.to_numpy(zero_copy_only=False).view(U64)) % U64(FILTER_CELLS)).astype(np.int64)
+
+
+def sifted(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """rows without most of those whose key (a long) the filter wasn't made of; none is lost that it was. Too many keys let more rows through."""
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+    at, schema = rows.columns.index(column), rows.schema
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
         for batch in batches:
-            key = batch.column(names.index(column)).to_numpy(zero_copy_only=False).view(U64)
-            yield batch.filter(pa.array(bits[(mix(key) % U64(FILTER_CELLS)).astype(np.int64)]))
+            yield batch.filter(pa.array(held.value[_cell(batch.column(at))]))
 
     return rows.filter(F.col(column).isNotNull()).mapInArrow(sift, schema)
