@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import U64, arrow, mix
+from skerry.llm.common import U64, arrow, mix, only
 from skerry.llm.shingles import string_hashes
 
 SPACE = "▁"
@@ -32,6 +32,8 @@ DROPOUT, SEED, VARIANTS = 0.1, 42, 4
 LONG = 128
 #: Units that go side by side.
 CHUNK = 1 << 14
+#: Texts that are encoded together; their working memory is many times their size.
+TOGETHER = 800
 
 
 def default_path() -> str:
@@ -268,14 +270,11 @@ class Encoder:
 
 #: Stands for one leading space in a unit; a code point that no text holds.
 _MARK = 0x10FFFF
-_LOADED: dict[tuple, Encoder] = {}
 
 
 def encoder(*key) -> Encoder:
-    """One for each worker process and set of parameters."""
-    if key not in _LOADED:
-        _LOADED[key] = Encoder(*key)
-    return _LOADED[key]
+    """The worker process's encoder for a set of parameters."""
+    return only(("pieces", *key), lambda: Encoder(*key))
 
 
 def encode(docs: DataFrame, path: str, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
@@ -285,20 +284,21 @@ def encode(docs: DataFrame, path: str, rate: float = DROPOUT, seed: int = SEED,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, rate, seed, variants)
         for batch in batches:
-            keys = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).view(U64)
-            ids = coder.encode(batch.column("text"), keys)
-            ends = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(ends, np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), lists], ["doc_id", "text", "ids"])
+            for part in (batch.slice(a, TOGETHER) for a in range(0, batch.num_rows, TOGETHER)):
+                keys = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).view(U64)
+                ids = coder.encode(part.column("text"), keys)
+                ends = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, np.concatenate(ids))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), lists], ["doc_id", "text", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
+def digests(encoded: DataFrame, path: str, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
     """encoded(doc_id, text, ids) as (doc_id, n_tokens, ids_crc32, text_crc32, lossless): ids are decoded, and lossless says whether that gives text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, rate, seed, variants)
         for batch in batches:
             lists = batch.column("ids")
             cuts, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
