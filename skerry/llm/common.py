@@ -40,9 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint."""
+    """The same rows with their lineage cut by a reliable checkpoint.
+
+    Shuffles and checkpoints that nothing refers to any more go at once; else their files stay until the driver happens to collect its garbage.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
