@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import langid, neardup, packing, paragraphs, toxicity
+from skerry.llm import langid, neardup, packing, paragraphs, passages, toxicity
 from skerry.llm.common import crc_of_id, table, written
 from skerry.llm.wordids import default_path
 
@@ -35,9 +35,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated paragraphs from texts; a document that has nothing left goes. Other columns stay as they are."""
+    """Cuts repeated lines, then repeated passages within lines, from texts; a document that has nothing left goes. Other columns stay as they are."""
     cut = paragraphs.without_repeats(docs).filter((F.size("removed") == 0) | (F.trim("text") != ""))
-    return cut.select(*(F.col(f"`{c}`") for c in docs.columns))
+    lines = written(cut.select(*(F.col(f"`{c}`") for c in docs.columns)), "lines")
+    # a first passage stays, so a text that is empty now was so before or has lost all its words
+    return passages.without_passages(lines.withColumn("_blank", F.trim("text") == "")).filter("_blank or text is null or trim(text) <> ''").drop("_blank")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

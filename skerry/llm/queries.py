@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import dac, html, langid, neardup, packing, paragraphs, pieces, qalsh, tiff, toxicity
-from skerry.llm.common import crc_of_id, table
+from skerry.llm import dac, html, langid, neardup, packing, paragraphs, passages, pieces, qalsh, tiff, toxicity
+from skerry.llm.common import crc_of_id, table, written
 from skerry.llm.wordids import default_path
 
 
@@ -52,7 +52,8 @@ def op8_weighted_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_paragraph_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", F.size("removed").alias("n_removed"), "removed", "text")
+    lines = written(paragraphs.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", F.size("removed").alias("n_removed"), "removed", "text"), "lines")
+    return passages.without_passages(lines)
 
 
 def op10_dac_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
