@@ -5,9 +5,9 @@ from counters over all documents (two rows of CELLS counters, the lesser counts,
 counter is shared by many shingles the weight falls towards 1, for every document alike). ICWS draws samples that two documents share with
 probability equal to their weighted Jaccard similarity; samples are banded, and documents that share a band are candidates.
 
-Within a band's bucket every document is compared with the bucket's first and last by id, not with every other. Further rounds
-take new hubs in buckets where classes are still apart and compare them with what is not yet of their class. A pair links if its exact
-weighted Jaccard similarity is 0.8 or more. Links make classes; texts equal in every byte are one node from the start.
+Within a band's bucket every document is first compared with two hubs drawn for the bucket. Further rounds draw new hubs in buckets where
+classes are still apart and compare them with what is not yet of their class; then all pairs of classes still uncompared are found by exact
+prefix filtering (`remaining_candidates`), however many a bucket holds. A pair links if its exact weighted Jaccard similarity is 0.8 or more. Links make classes; texts equal in every byte are one node from the start.
 
 Defined results: null text counts as empty; texts without words are like only to equal ones; texts with fewer words than a shingle count
 as one shingle; repeated rows are copies; class_id is the least doc_id of the class (null only if all ids are null); an empty table gives none.
@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.common import U64, arrow, checkpoint, forget, mix, written
@@ -32,7 +32,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 8, 3
 #: Counters in each of two rows.
 CELLS = 1 << 20
-#: Rounds of hubs in buckets that hold more than one class.
+#: Rounds of hubs in buckets that hold more than one class, before the exact comparison of the rest.
 ROUNDS = 3
 
 
@@ -162,38 +162,87 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights | None, thresh
     return pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def first_candidates(rows: DataFrame) -> DataFrame:
-    """rows(bucket, node) as pairs(a, b): each node with the least and the greatest of its bucket."""
-    hubs = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    met = rows.join(hubs, "bucket").select("node", F.explode(F.array("low", "high")).alias("hub")).filter("node <> hub")
-    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+def first_candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(bucket, node) as pairs(a, b), each node with two hubs of its bucket, and the rows of nodes that are no hubs there."""
+    drawn = lambda c: F.col(c).bitwiseXOR(F.col("bucket"))
+    hubs = rows.groupBy("bucket").agg(F.min(drawn("node")).alias("low"), F.max(drawn("node")).alias("high")).filter("low < high")
+    hubs = hubs.select("bucket", drawn("low").alias("low"), drawn("high").alias("high"))
+    met = rows.join(hubs, "bucket")
+    pairs = met.select("node", F.explode(F.array("low", "high")).alias("hub")).filter("node <> hub")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), met.filter("node <> low and node <> high").select("bucket", "node")
 
 
-def further_candidates(rows: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """Pairs in buckets that hold several classes: each node with a hub of another class, chosen anew for each turn."""
+def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows(bucket, node) of buckets that hold several classes, with the root of each node."""
     classed = rows.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    drawn = F.xxhash64(F.col("node"), F.lit(turn))
-    hubs = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), drawn).alias("one"), F.max_by(F.struct("node", "root"), drawn).alias("two")).filter("low < high")
-    met = classed.join(hubs, "bucket").select("node", "root", F.explode(F.array("one", "two")).alias("hub")).filter("root <> hub.root")
-    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    several = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    return classed.join(several.select("bucket"), "bucket", "left_semi")
+
+
+def further_candidates(rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The same for open rows(bucket, node, root), with hubs drawn anew for each bucket and turn; only pairs of different classes."""
+    drawn = F.xxhash64("bucket", "node", F.lit(turn))
+    hubs = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), drawn).alias("one"), F.max_by(F.struct("node", "root"), drawn).alias("two"))
+    met = rows.join(hubs, "bucket")
+    pairs = met.select("node", "root", F.explode(F.array("one", "two")).alias("hub")).filter("root <> hub.root")
+    return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), met.filter("node <> one.node and node <> two.node").select("bucket", "node")
+
+
+def remaining_candidates(nodes: DataFrame, texts: DataFrame, weights: Weights | None, threshold: float) -> DataFrame:
+    """All pairs of nodes(node, root) of different classes that can reach the threshold, by exact prefix filtering.
+
+    Shingles are put in one order for all nodes, rare ones first. The first one that two similar sets share has at least `threshold` of either's weight
+    from it on, so it lies in a short prefix of both, and texts made from one template don't meet in the template.
+    """
+    held = nodes.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            hashes, text, counts = distinct_counts(*shingles(*word_hashes(batch.column("text"))))
+            w = held.value.of(hashes) * counts if held.value else np.ones(len(hashes))
+            owner = pa.array(text)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(owner), batch.column("root").take(owner), pa.array(hashes.view(np.int64)), pa.array(w.astype(np.float64))], ["node", "root", "shingle", "weight"])
+
+    sets = checkpoint(nodes.join(texts, "node").select("node", "root", "text").mapInArrow(run, "node long, root long, shingle long, weight double"))
+    seen = sets.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    order = Window.partitionBy("node").orderBy("n", "shingle")
+    ahead = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    prefix = sets.join(seen, "shingle").withColumn("ahead", ahead).withColumn("total", F.sum("weight").over(Window.partitionBy("node")))
+    # the small allowance is for rounding
+    prefix = checkpoint(prefix.filter(F.col("low") < F.col("high")).filter(F.col("ahead") >= F.col("total") * (threshold - 1e-6)).select("shingle", "root", "node"))
+    groups = prefix.select("shingle", "root").distinct()
+    across = groups.withColumnRenamed("root", "root_a").join(groups.withColumnRenamed("root", "root_b"), "shingle").filter("root_a < root_b")
+    side = lambda n: prefix.select("shingle", F.col("root").alias(f"root_{n}"), F.col("node").alias(f"node_{n}"))
+    pairs = across.join(side("a"), ["shingle", "root_a"]).join(side("b"), ["shingle", "root_b"])
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def classes(rows: DataFrame, texts: DataFrame, weights: Weights | None, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """rows(bucket, node) and texts(node, text): (node, root) of nodes with links, and the links (a, b)."""
-    candidates = checkpoint(first_candidates(rows))
+    """rows(bucket, node) and texts(node, text): (node, root) of nodes with links, and the links (a, b).
+
+    A bucket is done when its nodes that were no hubs yet are of one class; what is left after the rounds is compared exactly.
+    """
+    found, others = first_candidates(rows)
+    candidates = checkpoint(found)
     tried = candidates
     nodes = checkpoint(candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     bits, wanted = key_filter(nodes), nodes.withColumnRenamed("key", "node")
-    # the buckets of nodes that have met another; distinct before the join, so that a node with many copies is one row by then
-    few = checkpoint(sifted(rows, "node", bits).distinct().join(wanted, "node", "left_semi"))
+    # distinct, so that a node with many copies is one row by then
+    left = checkpoint(others.distinct())
     needed = sifted(texts, "node", bits).dropDuplicates(["node"])
     needed = written(needed.join(wanted, "node", "left_semi"), "texts")
     links = checkpoint(verified(candidates, needed, weights, threshold))
     roots = components(links)
-    for turn in range(1, rounds):
-        candidates = checkpoint(further_candidates(few, roots, turn).join(tried, ["a", "b"], "left_anti"))
-        if candidates.isEmpty():
+    for turn in range(1, rounds + 1):
+        left = checkpoint(open_rows(left, roots))
+        if left.isEmpty():
             break
+        if turn < rounds:
+            found, left = further_candidates(left, turn)
+        else:
+            found = remaining_candidates(left.select("node", "root").distinct(), needed, weights, threshold)
+        candidates = checkpoint(found.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionAll(candidates)
         more = checkpoint(verified(candidates, needed, weights, threshold))
         if not more.isEmpty():

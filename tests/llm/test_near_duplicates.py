@@ -129,3 +129,18 @@ def test_one_of_each(spark):
     got = neardup.one_of_each(docs.unionAll(docs))
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(brute_classes(rows).values()))
+
+
+def test_crowded_bucket_of_many_classes(spark):
+    r = random.Random(3)
+    template, rows = words(r, 100), []
+    for k in range(1000):
+        own = words(r, 30)
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join([*template, *own[:-1], "other"]))]
+    rows += [(-1, "a b c d e f g"), (-2, "a b c d e f g h"), (-3, "q w e r t y"), (-4, "z x c v b n m")]
+    texts = spark.createDataFrame(rows, "node long, text string").repartition(4)
+    buckets = texts.selectExpr("if(node < 0, 5, 7) as bucket", "node").selectExpr("cast(bucket as long) as bucket", "node")
+    roots, links = neardup.classes(buckets, texts, None, 0.7)
+    got = {x.node: x.root for x in roots.collect()}
+    assert got == {n: n - n % 2 for n, _ in rows if n >= 0} | {-1: -2, -2: -2}
+    assert links.count() == 1001
