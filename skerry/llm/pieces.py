@@ -2,12 +2,12 @@
 
 The model's pieces and scores come from a sentencepiece file; segmentation is done here. Adjacent symbols whose joined text is a
 piece are candidates on an agenda, the best score first, the leftmost among equals. A candidate that comes up is skipped if a hash
-of (seed, variant, unit, start, end) falls below the dropout rate, else merged. A unit is a word with the space before it: no piece reaches
-across that. Each occurrence draws one of VARIANTS variants from a hash of (seed, key of its document, place), so a word is cut in several ways
-within a corpus, the same ones on every run. With dropout 0 the ids are sentencepiece's own.
+of (seed, key of its document, place, unit, start, end) falls below the dropout rate, else merged. A unit is a word with the space before it:
+no piece reaches across that. So each occurrence of a word is drawn anew, the same way on every run. With dropout 0 the ids are sentencepiece's own.
 
-Units of a batch are processed side by side: each round takes the best candidate of every unit (`lockstep`); long units use an agenda of
-their own (`agenda`). Characters without a piece, and the space mark U+2581 itself, become byte pieces, so decoding gives back every text.
+Units of a batch are processed side by side: each round takes the best candidate of every unit (`lockstep`). What comes of a unit depends only
+on which candidates were skipped, so occurrences share the work as long as their draws skip the same ones (`Encoder._drawn`); long units use
+an agenda of their own for each occurrence (`agenda`). Characters without a piece, and the space mark U+2581 itself, become byte pieces, so decoding gives back every text.
 Defined results: null text counts as empty; an empty text has no ids; repeated rows get equal ids; the key of a document is its doc_id (null: 0).
 """
 
@@ -27,7 +27,7 @@ from skerry.llm.common import U64, arrow, mix, only
 from skerry.llm.shingles import string_hashes
 
 SPACE = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 42, 4
+DROPOUT, SEED = 0.1, 42
 #: Units of more symbols than this go to an agenda of their own.
 LONG = 128
 #: Units that go side by side.
@@ -137,8 +137,12 @@ def agenda(v: Vocabulary, symbols: list[int], key: int, rate: float) -> list[int
     return [s for s, a in zip(sym, alive, strict=True) if a]
 
 
-def lockstep(v: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many units at once: symbols is units x columns, filled with -1 behind each length. Returns symbols and which are alive."""
+def lockstep(v: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rate: float, forced: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The same for many units at once: symbols is units x columns, filled with -1 behind each length. Returns symbols and which are alive.
+
+    With `forced`, units x skips, a unit skips just these candidates (start * 256 + end) in the order in which they come up, and the candidates
+    merged after the last of them are returned too: their units and names, by unit and then in order.
+    """
     units, columns = symbols.shape
     sym = symbols.copy()
     place = np.arange(columns)
@@ -150,6 +154,9 @@ def lockstep(v: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, keys: np.n
     made[:, :-1] = v.join(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(units, -1)
     score = np.where(made >= 0, v.score[made], -np.inf).astype(np.float32)
     rows = np.arange(units)
+    if forced is not None:
+        forced = np.concatenate([forced, np.full((units, 1), -1, np.int64)], axis=1)
+        passed, trace = np.zeros(units, np.int64), []
     while len(rows):
         i = np.argmax(score[rows], axis=1)
         some = score[rows, i] > -np.inf
@@ -157,7 +164,14 @@ def lockstep(v: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, keys: np.n
         if not len(rows):
             break
         j = right[rows, i]
-        skip = skipped(keys[rows], i, end[rows, j], rate)
+        if forced is None:
+            skip = skipped(keys[rows], i, end[rows, j], rate)
+        else:
+            name = i * 256 + end[rows, j]
+            skip = name == forced[rows, passed[rows]]
+            passed[rows[skip]] += 1
+            late = ~skip & (passed[rows] == forced.shape[1] - 1)
+            trace.append((rows[late], name[late]))
         score[rows[skip], i[skip]] = -np.inf
         r, i, j = rows[~skip], i[~skip], j[~skip]
         sym[r, i], end[r, i] = made[r, i], end[r, j]
@@ -172,35 +186,58 @@ def lockstep(v: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, keys: np.n
             made[rr, a] = m
             score[rr, a] = np.where(m >= 0, v.score[m], -np.inf)
         score[r[~inner], i[~inner]] = -np.inf
-    return sym, alive
+    if forced is None:
+        return sym, alive
+    of, names = (np.concatenate([np.zeros(0, np.int64), *(t[k] for t in trace)]) for k in (0, 1))
+    order = np.argsort(of, kind="stable")
+    return sym, alive, of[order], names[order]
 
 
 class Encoder:
-    def __init__(self, path: str, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        self.v, self.rate, self.seed, self.variants = Vocabulary(path), rate, seed, variants if rate else 1
+    def __init__(self, path: str, rate: float = DROPOUT, seed: int = SEED, variants: int | None = None):
+        self.v, self.rate, self.seed, self.variants = Vocabulary(path), rate, seed, variants
+
+    def _units(self, units: list[str], at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the units at[k] drawn with keys[k], for all k: ids one result after the other, how many each has, and the result of each k.
 
-    def _units(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units, one after the other, and how many each has. A unit is given without the spaces that it begins with, as "\\x00" for each."""
+        A unit is given without the spaces that it begins with, as "\\x00" for each.
+        """
         lengths = np.array(list(map(len, units)), np.int64)
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         begins = np.cumsum(lengths) - lengths
         symbols = self.v.of_char[points].astype(np.int64)
         symbols = np.where(symbols < 0, -2 - points, symbols)
         symbols[points == _MARK] = self.v.space
-        pools = []
+        result = np.zeros(len(at), np.int64)
+        pools, made = [], 0
         # bands of similar length, so that little is padding
         for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, 40), (40, 72), (72, LONG)):
-            band = np.flatnonzero((lengths > low) & (lengths <= high))
-            for which in (band[a : a + CHUNK] for a in range(0, len(band), CHUNK)):
-                n = lengths[which]
-                cells = np.arange(high)[None, :] < n[:, None]
-                dense = np.full(cells.shape, -1, np.int64)
-                dense[cells] = symbols[np.repeat(begins[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                sym, alive = lockstep(self.v, dense, n, keys[which], self.rate)
-                pools.append((which, sym[alive], alive.sum(axis=1)))
-        for u in np.flatnonzero(lengths > LONG):
-            got = agenda(self.v, symbols[begins[u] : begins[u] + lengths[u]].tolist(), int(keys[u]), self.rate)
-            pools.append((np.array([u]), np.array(got, np.int64), np.array([len(got)])))
+            mine = np.flatnonzero((lengths[at] > low) & (lengths[at] <= high))
+            # node: a unit and what was skipped so far
+            which, node = np.unique(at[mine], return_inverse=True)
+            forced = np.zeros((len(which), 0), np.int64)
+            while len(mine):
+                result[mine] = made + node
+                traces, counts = [], np.zeros(len(which), np.int64)
+                for a in range(0, len(which), CHUNK):
+                    part = which[a : a + CHUNK]
+                    n = lengths[part]
+                    cells = np.arange(high)[None, :] < n[:, None]
+                    dense = np.full(cells.shape, -1, np.int64)
+                    dense[cells] = symbols[np.repeat(begins[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    sym, alive, of, names = lockstep(self.v, dense, n, None, self.rate, forced[a : a + CHUNK])
+                    pools.append((made + a + np.arange(len(part)), sym[alive], alive.sum(axis=1)))
+                    traces.append(names)
+                    counts[a : a + CHUNK] = np.bincount(of, minlength=len(part))
+                made += len(which)
+                if not self.rate:
+                    break
+                mine, node, which, forced = self._drawn(keys, mine, node, which, forced, np.concatenate(traces), counts)
+        for k in np.flatnonzero(lengths[at] > LONG):
+            u = at[k]
+            got = agenda(self.v, symbols[begins[u] : begins[u] + lengths[u]].tolist(), int(keys[k]), self.rate)
+            pools.append((np.array([made]), np.array(got, np.int64), np.array([len(got)])))
+            result[k], made = made, made + 1
         flat = np.concatenate([p[1] for p in pools]) if pools else np.zeros(0, np.int64)
         owner = np.concatenate([np.repeat(p[0], p[2]) for p in pools]) if pools else np.zeros(0, np.int64)
         order = np.argsort(owner, kind="stable")
@@ -213,8 +250,24 @@ class Encoder:
             at = np.repeat(flat < 0, copies)
             flat, owner = np.repeat(flat, copies), np.repeat(owner, copies)
             flat[at] = self.v.byte[np.frombuffer(b"".join(encoded), np.uint8)]
-        sizes = np.bincount(owner, minlength=len(units))
-        return flat, sizes
+        return flat, np.bincount(owner, minlength=made), result
+
+    def _drawn(self, keys, mine, node, which, forced, names, counts):
+        """The occurrences that skip one more candidate of their node's trace, and the nodes that the first such candidate leads to."""
+        first = np.cumsum(counts) - counts
+        hit = np.full(len(mine), -1, np.int64)
+        for a in range(0, len(mine), CHUNK):
+            n = counts[node[a : a + CHUNK]]
+            owner = np.repeat(np.arange(a, a + len(n)), n)
+            spot = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + first[node[owner]]
+            skip = np.flatnonzero(skipped(keys[mine[owner]], names[spot] >> 8, names[spot] & 255, self.rate))
+            who, where = np.unique(owner[skip], return_index=True)
+            hit[who] = spot[skip[where]]
+        more = np.flatnonzero(hit >= 0)
+        # a place in the traces names a node and a candidate
+        spots, child = np.unique(hit[more], return_inverse=True)
+        parent = np.searchsorted(np.cumsum(counts), spots, "right")
+        return mine[more], child, which[parent], np.concatenate([forced[parent], names[spots, None]], axis=1)
 
     def encode(self, texts: pa.Array, doc_keys: np.ndarray) -> list[np.ndarray]:
         """Ids of each text; doc_keys has a 64-bit number for each."""
@@ -250,10 +303,11 @@ class Encoder:
         hashes = string_hashes(pa.array(units, pa.large_string())) if units else np.zeros(0, U64)
         with np.errstate(over="ignore"):
             place = np.arange(len(at)) - np.repeat(cuts[:-1], np.diff(cuts))
-            variant = (mix(np.repeat(np.asarray(doc_keys, U64), np.diff(cuts)) + mix(place.astype(U64) + U64(self.seed))) % U64(self.variants)).astype(np.int64)
-            pool, which = np.unique(at * self.variants + variant, return_inverse=True)
-            keys = mix(hashes[pool // self.variants] + mix((pool % self.variants).astype(U64) + U64(self.seed)))
-        flat, sizes = self._units([units[u] for u in (pool // self.variants).tolist()], keys)
+            draw = mix(np.repeat(np.asarray(doc_keys, U64), np.diff(cuts)) + mix(place.astype(U64) + U64(self.seed)))
+            if self.variants:
+                draw = draw % U64(self.variants)
+            keys = mix(hashes[at] + mix(draw + U64(self.seed)))
+        flat, sizes, which = self._units(units, at, keys)
         first, n = np.cumsum(sizes) - sizes, sizes[which]
         until = np.concatenate([[0], np.cumsum(n)])
         ids = flat[np.repeat(first[which] - until[:-1], n) + np.arange(until[-1])].astype(np.int32)
@@ -277,7 +331,7 @@ def encoder(*key) -> Encoder:
     return only(("pieces", *key), lambda: Encoder(*key))
 
 
-def encode(docs: DataFrame, path: str, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, path: str, rate: float = DROPOUT, seed: int = SEED, variants: int | None = None) -> DataFrame:
     """docs(doc_id, text) as (doc_id, text, ids)."""
     arrow(docs.sparkSession)
 
@@ -294,7 +348,7 @@ def encode(docs: DataFrame, path: str, rate: float = DROPOUT, seed: int = SEED,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
-def digests(encoded: DataFrame, path: str, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def digests(encoded: DataFrame, path: str, rate: float = DROPOUT, seed: int = SEED, variants: int | None = None) -> DataFrame:
     """encoded(doc_id, text, ids) as (doc_id, n_tokens, ids_crc32, text_crc32, lossless): ids are decoded, and lossless says whether that gives text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,3 +73,20 @@ def test_query(spark):
     assert all(by[i][0].text_crc32 == zlib.crc32((t or "").encode()) for i, t, _ in rows)
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == by[r.doc_id][0].ids_crc32 for r in encoded.collect())
     assert pieces.digests(pieces.encode(docs.limit(0), pieces.default_path()), pieces.default_path()).count() == 0
+
+
+def test_each_occurrence_is_drawn_anew():
+    c = pieces.Encoder(pieces.default_path(), 0.1, 1)
+    v, word = c.v, "internationalisation"
+    text = " ".join([word] * 400)
+    ids = encode(c, [text, text])
+    symbols = [v.space, *(int(v.of_char[ord(x)]) for x in word)]
+    place = pieces.mix(np.arange(400, dtype=np.uint64) + np.uint64(1))
+    unit = pieces.string_hashes(pa.array([chr(pieces._MARK) + word]))
+    for doc in (0, 1):
+        with np.errstate(over="ignore"):
+            keys = pieces.mix(unit + pieces.mix(pieces.mix(np.uint64(doc) + place) + np.uint64(1)))
+        each = [pieces.agenda(v, symbols, int(k), 0.1) for k in keys]
+        assert ids[doc] == [i for x in each for i in x]
+        assert len({tuple(x) for x in each}) > 20
+    assert ids[0] != ids[1]
