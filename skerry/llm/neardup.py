@@ -261,7 +261,10 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs(doc_id, text) as (doc_id, class_id, copies, links): copies are documents with the very same text, links those to other texts."""
+    """docs(doc_id, text) as (doc_id, class_id, copies, links): copies are documents with the very same text.
+
+    links counts the comparisons with other texts that were made and reached the threshold, mostly with hubs; it is no count of all similar texts.
+    """
     nodes, sketched = _nodes(docs, threshold)
     ids = nodes.groupBy("root").agg(F.min("first").alias("class_id"))
     by_node = nodes.join(ids, "root").select("node", "class_id", "copies", "links")
