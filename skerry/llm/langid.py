@@ -1,6 +1,7 @@
 """Language identification of whole texts, with spans for mixed-language text.
 
-Each word gets a score for every language from its character n-grams (naive Bayes with hashed n-grams of one to three
+Texts are cut at white space, and what stands between where the script changes; in scripts that don't part words, every PIECE letters.
+Each such word gets a score for every language from its character n-grams (naive Bayes with hashed n-grams of one to three
 characters). The word's script narrows the candidates to the languages that were seen in it. Viterbi over the words,
 with a penalty for each change of language, labels the spans. The language with the most letters is the document's.
 
@@ -30,6 +31,8 @@ from skerry.llm.common import U64, Memo, arrow, forget, mix, only, split_words
 SAMPLE = 400
 #: Hashed n-grams, the price of a change of language in nats, the most that one word can say against a language.
 BUCKETS, SWITCH, FLOOR = 1 << 15, 14.0, 7.0
+#: Letters in a word of a script that puts no spaces between words.
+PIECE = 4
 UNKNOWN = "und"
 
 # First code points of Unicode script ranges and their scripts ("" for none in particular).
@@ -48,8 +51,26 @@ def script(char: str) -> str:
     return SCRIPTS[bisect.bisect_right(_STARTS, ord(char)) - 1][1]
 
 
-def letters(word: str) -> str:
-    return "".join(filter(str.isalpha, word)).lower()
+#: Scripts without spaces between words; Japanese mixes the first two.
+UNSPACED = frozenset(("han", "kana", "thai", "lao", "khmer", "myanmar", "tibetan"))
+
+
+def pieces(token: str) -> list[tuple[int, str]]:
+    """The words of a token without white space: where each begins, and its letters. There is always one, if only without letters."""
+    if max(token, default="") < "\u0370":
+        return [(0, "".join(filter(str.isalpha, token)).lower())]
+    out, begin, held, now = [], 0, [], ""
+    for at, c in enumerate(token):
+        if not c.isalpha():
+            continue
+        kind = script(c) or now
+        kind = "han" if kind == "kana" else kind
+        if held and (kind != now or kind in UNSPACED and len(held) >= PIECE):
+            out.append((begin, "".join(held).lower()))
+            begin, held = at, []
+        now = kind
+        held.append(c)
+    return [*out, (begin, "".join(held).lower())]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,11 +101,10 @@ class Model:
     table: np.ndarray  # BUCKETS x languages: log probabilities
     scripts: dict[str, np.ndarray]  # script -> which languages use it
 
-    def words(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (words x languages, the best is 0) and numbers of letters."""
-        plain = [letters(w) for w in raw]
+    def words(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (words x languages, the best is 0) of words of letters, and how many letters each has."""
         counts = np.array([len(w) for w in plain], np.int64)
-        scores = np.zeros((len(raw), len(self.languages)), np.float32)
+        scores = np.zeros((len(plain), len(self.languages)), np.float32)
         some = np.flatnonzero(counts) if self.languages else []
         if len(some):
             buckets, of = grams([plain[i] for i in some])
@@ -142,7 +162,7 @@ def fit(docs: DataFrame) -> Model:
         seen: dict[tuple[str, str], int] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                plain = [w for w in map(letters, text.split()) if w]
+                plain = [w for token in text.split() for _, w in pieces(token) if w]
                 for w in plain:
                     seen[lang, script(w[0])] = seen.get((lang, script(w[0])), 0) + len(w)
                 if plain:
@@ -153,13 +173,14 @@ def fit(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["lang", "bucket", "script", "n"])
 
     counted = sample.mapInArrow(count, "lang string, bucket long, script string, n long").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # at most BUCKETS rows and a few scripts for each language
+    got = counted.toArrow()  # at most BUCKETS rows and a few scripts for each language
     counts, scripts = np.zeros((BUCKETS, len(languages))), {}
     at = {x: i for i, x in enumerate(languages)}
-    for row in got[got.bucket < 0].itertuples():
-        scripts.setdefault(row.script, np.zeros(len(languages)))[at[row.lang]] = row.n
-    grams_seen = got[got.bucket >= 0]
-    counts[grams_seen.bucket.to_numpy(int), [at[x] for x in grams_seen.lang]] = grams_seen.n
+    bucket = got.column("bucket").to_numpy()
+    for row in got.filter(pa.array(bucket < 0)).to_pylist():
+        scripts.setdefault(row["script"], np.zeros(len(languages)))[at[row["lang"]]] = row["n"]
+    grams_seen = got.filter(pa.array(bucket >= 0))
+    counts[grams_seen.column("bucket").to_numpy(), [at[x] for x in grams_seen.column("lang").to_pylist()]] = grams_seen.column("n").to_numpy()
     used = sum(scripts.values(), np.zeros(len(languages)))
     return Model(languages, np.log((counts + 0.3) / (counts.sum(axis=0) + 0.3 * BUCKETS)).astype(np.float32), {s: n > 0.01 * used for s, n in scripts.items()})
 
@@ -169,31 +190,53 @@ _WORD = re.compile(r"\S+")
 
 
 class Labeller:
-    """Labels texts in one worker; scores of words are remembered."""
+    """Labels texts in one worker; scores of words are remembered. A token's words stand in rows one after the other."""
 
     def __init__(self, model: Model, most: int = 220_000):
         self.model = model
-        self.scores = np.zeros((1024, len(model.languages)), np.float32)
-        self.letters = np.zeros(1024, np.int64)
+        self._clear()
         self.memo = Memo(self._fill, most)
 
-    def _fill(self, words: list[str]) -> range:
-        a, b = len(self.memo), len(self.memo) + len(words)
+    def _clear(self) -> None:
+        self.used = 0
+        self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
+        self.letters, self.begins, self.several = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.ones(1024, np.int64)
+
+    def _fill(self, tokens: list[str]) -> list[int]:
+        """The first row of each token."""
+        if not self.memo:
+            self._clear()
+        parts = [pieces(x) for x in tokens]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        firsts = self.used + np.cumsum(sizes) - sizes
+        a, b = self.used, self.used + int(sizes.sum())
         if b > len(self.letters):
-            grow = max(b, 2 * len(self.letters))
-            self.scores = np.vstack([self.scores[:a], np.zeros((grow - a, self.scores.shape[1]), np.float32)])
-            self.letters = np.concatenate([self.letters[:a], np.zeros(grow - a, np.int64)])
-        self.scores[a:b], self.letters[a:b] = self.model.words(words)
-        return range(a, b)
+            room = max(b, 2 * len(self.letters)) - a
+            self.scores = np.vstack([self.scores[:a], np.zeros((room, self.scores.shape[1]), np.float32)])
+            self.letters, self.begins, self.several = (np.concatenate([x[:a], np.ones(room, np.int64)]) for x in (self.letters, self.begins, self.several))
+        flat = [p for x in parts for p in x]
+        self.scores[a:b], self.letters[a:b] = self.model.words([w for _, w in flat])
+        self.begins[a:b] = [at for at, _ in flat]
+        self.several[firsts] = sizes
+        self.used = b
+        return firsts.tolist()
 
     def label(self, texts: pa.Array) -> list[tuple[str, float, list[dict]]]:
         distinct, at, ends = split_words(texts)
-        words = distinct.to_pylist()
-        self.memo.learn(words)
-        rows = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))[at]
-        return [self._one(texts[i], rows[a:b]) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+        tokens = distinct.to_pylist()
+        self.memo.learn(tokens)
+        rows = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))[at]
+        sizes, token = self.several[rows], None
+        if len(sizes) and sizes.max() > 1:
+            behind = np.concatenate([[0], np.cumsum(sizes)])
+            token = np.repeat(np.arange(len(rows)), sizes)
+            rows = np.repeat(rows - behind[:-1], sizes) + np.arange(behind[-1])
+            first, ends = ends, behind[ends]
+        else:
+            first = ends
+        return [self._one(texts[i], rows[a:b], None if token is None else token[a:b] - f) for i, (f, a, b) in enumerate(zip(first[:-1], ends[:-1], ends[1:], strict=True))]
 
-    def _one(self, text: pa.Scalar, at: np.ndarray) -> tuple[str, float, list[dict]]:
+    def _one(self, text: pa.Scalar, at: np.ndarray, token: np.ndarray | None) -> tuple[str, float, list[dict]]:
         counts = self.letters[at]
         all_letters = int(counts.sum())
         if not all_letters or not self.model.languages:
@@ -207,7 +250,7 @@ class Labeller:
             spans = [{"lang": self.model.languages[path[0]], "start": 0, "end": len(text), "letters": all_letters}]
         else:
             places = [m.start() for m in _WORD.finditer(text)]
-            cuts = [0, *(places[e] if e < len(places) else len(text) for e in edges[1:-1]), len(text)]
+            cuts = [0, *(places[e if token is None else token[e]] + int(self.begins[at[e]]) for e in edges[1:-1]), len(text)]
             spans = [{"lang": self.model.languages[path[e]], "start": a, "end": b, "letters": int(counts[e:f].sum())} for a, b, e, f in zip(cuts, cuts[1:], edges, edges[1:], strict=False)]
         return self.model.languages[best], float(of[best] / all_letters), spans
 

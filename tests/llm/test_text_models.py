@@ -43,6 +43,30 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.label(d, nothing).collect()} == {"und"}
 
 
+def test_scripts_without_spaces(spark):
+    chinese, r = "河流在古老的石桥下流淌孩子们向水里扔面包", random.Random(8)
+    run = lambda n: "".join(r.choice(chinese) for _ in range(n))
+    rows = [(i, prose(lang, 30, i), lang) for i, lang in enumerate(list(TALK) * 10)] + [(100 + i, run(80), "zh") for i in range(10)]
+    texts = [prose("en", 30, 1) + " " + run(180) + " " + prose("en", 30, 2), "the" + run(90) + prose("en", 20, 3), prose("en", 50, 4) + " " + run(2) + " " + prose("en", 50, 5), run(400)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {x.doc_id: x for x in langid.label(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [s.lang for s in got[0].spans] == ["en", "zh", "en"] and got[0].spans[1].letters == 180
+    a, b = got[0].spans[1].start, got[0].spans[1].end
+    assert set(texts[0][a:b].strip()) <= set(chinese) and texts[0][a] in chinese
+    assert got[1].lang_pred in ("en", "zh") and [s.lang for s in got[1].spans][-2:] == ["zh", "en"] and got[1].spans[-2].letters >= 90
+    assert [s.lang for s in got[2].spans] == ["en"] and (got[3].lang_pred, got[3].score) == ("zh", 1.0)
+
+
+def test_pieces():
+    assert langid.pieces("Don't,") == [(0, "dont")] and langid.pieces("12") == [(0, "")] and langid.pieces("—") == [(0, "")]
+    assert langid.pieces("(мирpeace)мир") == [(0, "мир"), (4, "peace"), (10, "мир")]
+    assert langid.pieces("石桥下流淌ab") == [(0, "石桥下流"), (4, "淌"), (5, "ab")]
+    short = langid.Labeller(langid.Model([], np.zeros((langid.BUCKETS, 0)), {}), 3)
+    for text in ("a b c", "石桥下流淌 d e", "f 石桥下流淌水"):
+        assert short.label(pa.array([text]))[0][0] == "und"
+    assert short.letters[: short.used].sum() == 7
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.floats(-7, 0, width=32), min_size=3, max_size=3), min_size=1, max_size=7), st.floats(0.5, 10))
 def test_viterbi_is_the_best_path(scores, switch):
