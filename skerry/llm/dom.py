@@ -15,7 +15,8 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 SCOPE = frozenset("html body table td th caption button object".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
 
@@ -49,16 +50,64 @@ def attribute_text(raw: str) -> str:
     return " ".join(out)
 
 
+class Scanner:
+    """Finds tags from left to right. What a search has found missing in the rest of a page is never searched for again, so a page takes linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the `>` of a tag is whose attributes begin at `at`; quoted values may hold one. A quote that nothing closes counts as a character."""
+        first = self.find(">", at)
+        if first < 0:
+            return -1
+        while m := _QUOTED.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            closed = self.find(m[0], m.end())
+            if closed < 0:
+                return self.find(">", m.end())
+            if "=" not in self.page[max(0, m.start() - 8) : m.start()] or self.find(">", closed) < 0:
+                return first
+            at = closed + 1
+        return first
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(begin, end, "/" or "", name, attributes) of the next tag, comment or declaration (these have no name); a `<` that begins none is text."""
+        while (begin := self.page.find("<", at)) >= 0:
+            if self.page.startswith("<!--", begin):
+                end = self.find("-->", begin + 4)
+                return begin, end + 3 if end >= 0 else len(self.page), "", "", ""
+            if self.page.startswith(("<!", "<?"), begin) and (end := self.find(">", begin)) >= 0:
+                return begin, end + 1, "", "", ""
+            if self.find(">", begin) < 0:  # no tag ends any more
+                at = begin + 1
+                continue
+            if (m := _NAME.match(self.page, begin)) and (end := self.tag_end(m.end())) >= 0:
+                return begin, end + 1, m[1], m[2].lower(), self.page[m.end() : end]
+            at = begin + 1
+        return None
+
+
 def parse(page: str) -> Tree:
     """The node list of a page. Never fails: stray ends are passed over, what is left open ends with the page."""
     tree = Tree()
     tag = tree.tag
     stack = [0]
     formats: list[str] = []  # formatting elements that a closed block took with it
-    at, n = 0, len(page)
+    at, n, scan = 0, len(page), Scanner(page)
+    ends: dict[str, bool] = {}
     while at < n:
-        m = _TOKEN.search(page, at)
-        begin = m.start() if m else n
+        found = scan.next(at)
+        begin, after, slash, name, raw = found or (n, n, "", "", "")
         if begin > at:
             text = unescape(page[at:begin])
             if text.strip():
@@ -71,13 +120,12 @@ def parse(page: str) -> Tree:
                 tree.text[-1] += " " if tree.parent[-1] == stack[-1] else ""
             else:
                 tree.add("#", stack[-1], "", " ")
-        if not m:
+        if not found:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
+        at = after
         if not name:
             continue
-        if m[1]:
+        if slash:
             formats = [f for f in formats if f != name]
             for k in range(len(stack) - 1, 0, -1):
                 if tag[stack[k]] == name:
@@ -92,13 +140,14 @@ def parse(page: str) -> Tree:
             _close(tag, stack, {"p"}, SCOPE, formats)
         if name in CLOSES:
             _close(tag, stack, *CLOSES[name], [])
-        node = tree.add(name, stack[-1], attribute_text(m[3]) if m[3] else "")
+        node = tree.add(name, stack[-1], attribute_text(raw) if raw else "")
         if name in RAW:
-            end = _RAW_END[name].search(page, at)
+            end = None if ends.get(name) else _RAW_END[name].search(page, at)
+            ends[name] = end is None
             stop = end.start() if end else n
             tree.add("#", node, "", unescape(page[at:stop]) if name in ("title", "textarea") else page[at:stop])
-            at = page.find(">", stop) + 1 if end and page.find(">", stop) >= 0 else n
-        elif name not in VOID and not (m[3] or "").endswith("/") or name in ("p", "div", "span", "a") :
+            at = close + 1 if end and (close := scan.find(">", stop)) >= 0 else n
+        elif name not in VOID and not raw.endswith("/") or name in ("p", "div", "span", "a"):
             stack.append(node)
     return tree
 

@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -36,6 +37,22 @@ def test_page(spark):
     assert html.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", ["<a b='", '<div class="x', "<p <p ", "<!-- ", "<!x ", "<script>", "<b></b", "<a x=\"1'>", "<textarea", "< < <", "</", "<p a='1' b=\"2>"])
+def test_malformed_pages_take_linear_time(part):
+    def took(n):
+        began = time.process_time()
+        tree = parse(part * n)
+        assert all(p < i for i, p in enumerate(tree.parent))
+        return time.process_time() - began
+
+    assert took(40_000) < 2 + 14 * took(8_000)
+
+
+def test_tags_and_quotes():
+    tree = parse("<p title='a>b' class=\"x > y\">one<p class=it's>two < three<div id=\"open>four</div>")
+    assert "".join(tree.text) == "onetwo < threefour" and tree.attributes[1] == "x > y"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "word", " ", "<br>", "<li>", "</ul>", "<ul>", "&amp;", "<a href='x>y'>", "</a>", "<td>", "<!-- x", "<script>", "</script>"]), max_size=25))
 def test_parser_takes_anything(parts):
