@@ -35,7 +35,10 @@ class ResultSet:
 
 
 class Engine:
-    """Stored tables under a root folder (or none), DataFrames registered as relations, and user functions."""
+    """Stored tables under a root folder (or none), DataFrames registered as relations, and user functions.
+
+    Names are told apart by case in this dialect, so the session's spark.sql.caseSensitive is set.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         spark.conf.set("spark.sql.caseSensitive", "true")
@@ -53,6 +56,9 @@ class Engine:
     def register_udf(self, name: str, function: Callable, signature: str, vector: bool = True) -> None:
         self.functions.register(name, function, signature, vector)
 
+    def register_udaf(self, name: str, function: Callable, signature: str) -> None:
+        self.functions.register_aggregate(name, function, signature)
+
     def connect(self) -> Connection:
         return Connection(self)
 

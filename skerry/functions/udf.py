@@ -25,6 +25,7 @@ class Functions:
 
     def __init__(self):
         self._known: dict[str, tuple[Callable, int, T.DataType]] = {}
+        self._aggregates: dict[str, tuple[Callable, int, T.DataType]] = {}
 
     def register(self, name: str, function: Callable, signature: str, vector: bool = True) -> None:
         if not name or len(name.encode()) > 64:
@@ -36,6 +37,19 @@ class Functions:
             made = F.udf(function, result)
         self._known[name.lower()] = (made, len(arguments), result)
 
+    def register_aggregate(self, name: str, function: Callable, signature: str) -> None:
+        """An aggregate as a function of columns that gives an aggregate column, such as `lambda c: F.sqrt(F.sum(c * c))`.
+
+        Made of Spark's own aggregates it starts, iterates, merges and ends as they do: it is combined before the shuffle, and no group has to fit into a task.
+        """
+        if not name or len(name.encode()) > 64:
+            raise EngineError("bad format")
+        arguments, result = parse_signature(signature)
+        self._aggregates[name.lower()] = (function, len(arguments), result)
+
+    def find_aggregate(self, name: str) -> tuple[Callable, int, T.DataType] | None:
+        return self._aggregates.get(name.lower())
+
     def find(self, name: str) -> tuple[Callable, int, T.DataType] | None:
         return self._known.get(name.lower())
 

@@ -1,8 +1,12 @@
-"""INSERT, UPDATE and DELETE on stored tables: each plans its rows, checks the outcome, and commits it whole or not at all."""
+"""INSERT, UPDATE and DELETE on stored tables: each plans its rows, checks the outcome of every table, and then commits.
+
+A table changes whole or not at all. Where a statement changes several tables, they are committed one after the other when all have been written and checked.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -105,7 +109,7 @@ def insert_frame(store: TableStore, table: str, df: DataFrame) -> int:
     _check_insert(store, meta, rows)
     folder = store.write(meta, rows)
     added = store.spark.read.parquet(f"{store.root}/{folder}").agg(F.count("*").alias("n"), F.max(RID).alias("top")).first()
-    meta.folders, meta.next_rid = [*meta.folders, folder], (added["top"] + 1 if added["n"] else meta.next_rid)
+    meta.folders, meta.next_rid = store.compacted(meta, [*meta.folders, folder]), (added["top"] + 1 if added["n"] else meta.next_rid)
     store.commit(meta)
     return added["n"]
 
@@ -124,7 +128,7 @@ def _chosen(lowering: Lowering, source, where, order: Sequence, limit) -> Relati
     """The rows that a change is for."""
     rel = lowering.source(source)
     if where is not None:
-        rel.df = rel.df.filter(lowering.condition(where, rel))
+        rel.df = rel.df.filter(lowering.where(where, rel))
     if order or limit is not None:
         rel.df = r.ordered(rel.df, [(exprs.shown(*lowering.expr(e, rel)), down) for e, down in order], rel.keys)
         rel.df = r.limited(rel.df, lowering._number(limit))
@@ -139,21 +143,24 @@ def _target(rel: Relation, name: str) -> tuple[str, str, str]:
 
 
 def delete(store: TableStore, lowering: Lowering, node: t.Delete) -> int:
-    """Takes the chosen rows out of every target table; the count is that of rows deleted."""
+    """Takes the chosen rows out of every target table, which several aliases may name; the count is that of rows deleted."""
     rel = _chosen(lowering, node.source, node.where, node.order, node.limit)
     rel.df = rel.df.select(*(rid for _, _, rid in rel.tables)).cache()
+    by_table: dict[str, list[str]] = {}
+    for name in node.targets:
+        _, table, rid = _target(rel, name)
+        by_table.setdefault(table, []).append(rid)
     plans, total = [], 0
     try:
-        for name in node.targets:
-            _, table, rid = _target(rel, name)
-            gone = rel.df.select(F.col(rid).alias(RID)).dropna().distinct()
-            meta = store.meta(table)
-            n = gone.count()
+        for table, rids in by_table.items():
+            gone = reduce(DataFrame.unionAll, (rel.df.select(F.col(rid).alias(RID)) for rid in rids)).dropna().distinct()
+            meta, n = store.meta(table), gone.count()
             total += n
             if n:
-                plans.append((meta, store.write(meta, store.read(meta).join(gone, RID, "left_anti"))))
-        for meta, folder in plans:
-            meta.folders = [folder]
+                hit, others = store.holding(meta, gone)
+                plans.append((meta, [*others, store.write(meta, store.read(meta, hit).join(gone, RID, "left_anti"))]))
+        for meta, folders in plans:
+            meta.folders = store.compacted(meta, folders)
             store.commit(meta)
     finally:
         rel.df.unpersist()
@@ -161,7 +168,8 @@ def delete(store: TableStore, lowering: Lowering, node: t.Delete) -> int:
 
 
 def update(store: TableStore, lowering: Lowering, node: t.Update) -> int:
-    """Assigns from left to right, later ones seeing earlier results. Where several joined rows meet one row, the last by the tables' keys counts.
+    """Assigns from left to right, later ones seeing earlier results. Where several joined rows meet one row, the last by the tables' keys counts;
+    where several aliases of one table do, the last of those that set the column.
 
     The count is that of chosen rows times the tables of the join.
     """
@@ -176,32 +184,54 @@ def update(store: TableStore, lowering: Lowering, node: t.Update) -> int:
         c = store.meta(table).column(name.name)
         column = fitted_column(*lowering.expr(value, rel, made), c)
         targets.setdefault(alias, {})[name.name] = column
-        made[t.Name(name.name, alias)] = made[t.Name(name.name, table)] = (column, c.kind)
+        made[t.Name(name.name, alias)] = (column, c.kind)
+        if sum(x == table for _, x, _ in rel.tables) == 1:
+            made[t.Name(name.name, table)] = (column, c.kind)
         if not several:
             made[t.Name(name.name)] = (column, c.kind)
-    plans = []
     outputs = [c.alias(f"{alias}.{n}") for alias, sets in targets.items() for n, c in sets.items()]
     keys = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(rel.keys)))
     chosen = rel.df.select(*(F.col(rid).alias(f"{alias}.{RID}") for alias, _, rid in rel.tables), keys.alias("_order"), *outputs).cache()
+    by_table: dict[str, list[str]] = {}
+    for alias in targets:
+        by_table.setdefault(_target(rel, alias)[1], []).append(alias)
+    plans = []
     try:
         affected = chosen.count() * len(rel.tables)
-        for alias, sets in targets.items():
-            _, table, _ = _target(rel, alias)
+        for table, aliases in by_table.items():
             meta = store.meta(table)
-            fresh = F.struct(*(F.col(f"`{alias}.{n}`").alias(n) for n in sets))
-            news = chosen.filter(F.col(f"`{alias}.{RID}`").isNotNull()).groupBy(F.col(f"`{alias}.{RID}`").alias(RID)).agg(F.max_by(fresh, F.col("_order")).alias("_new"))
-            current = store.read(meta)
-            image = current.join(news, RID, "left").select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c.name}")).otherwise(F.col(c.name)).alias(c.name) if c.name in sets else F.col(c.name) for c in meta.columns), RID)
+            names = list(dict.fromkeys(n for a in aliases for n in targets[a]))
+            # for each alias that sets a column its value in a struct, so that a NULL that is set differs from nothing set
+            one = lambda k, a: chosen.filter(F.col(f"`{a}.{RID}`").isNotNull()).select(F.col(f"`{a}.{RID}`").alias(RID), F.struct(F.lit(k).alias("alias"), "_order").alias("_order"), *((F.struct(F.col(f"`{a}.{n}`").alias("v")) if n in targets[a] else F.lit(None).cast(f"struct<v:{STORED[meta.column(n).type].simpleString()}>")).alias(n) for n in names))
+            every = reduce(DataFrame.unionAll, (one(k, a) for k, a in enumerate(aliases)))
+            news = every.groupBy(RID).agg(*(F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_order"))).alias(f"_new_{n}") for n in names))
+            hit, others = store.holding(meta, news.select(RID)) if meta.folders else ([], [])
+            if not hit:
+                continue
+            current = store.read(meta, hit).join(news, RID, "left")
+            image = current.select(*(F.when(F.col(f"_new_{c.name}").isNotNull(), F.col(f"_new_{c.name}.v")).otherwise(F.col(c.name)).alias(c.name) if c.name in names else F.col(c.name) for c in meta.columns), RID)
             folder = store.write(meta, image)
-            written = TableMeta(**{**meta.__dict__, "folders": [folder]})
-            after = store.read(written)
-            for n in sets:
-                if meta.column(n).not_null and not after.filter(F.col(n).isNull()).isEmpty():
-                    raise EngineError(f"Column: {n} must not be null in table: {meta.name}")
-            check_unique(written, after, f"Duplicated primary key, in table: {table}", f"Duplicated unique secondary index key: {{}}, in table: {table}")
-            plans.append(written)
-        for meta in plans:
+            _check_update(store, meta, names, news.select(RID), hit, folder, others)
+            plans.append((meta, [*others, folder]))
+        for meta, folders in plans:
+            meta.folders = store.compacted(meta, folders)
             store.commit(meta)
     finally:
         chosen.unpersist()
     return affected
+
+
+def _check_update(store: TableStore, meta: TableMeta, names: Sequence[str], rids: DataFrame, hit: list[str], folder: str, others: list[str]) -> None:
+    """NOT NULL of columns that were set, and of keys that hold one of them that no changed row repeats another's; other rows are not held against each other."""
+    fresh = store.read(meta, [folder]).join(rids, RID, "left_semi")
+    for n in names:
+        if meta.column(n).not_null and not fresh.filter(F.col(n).isNull()).isEmpty():
+            raise EngineError(f"Column: {n} must not be null in table: {meta.name}")
+    keys = [(meta.primary, f"Duplicated primary key, in table: {meta.name}")] + [(i.columns, f"Duplicated unique secondary index key: {i.name}, in table: {meta.name}") for i in meta.indexes if i.unique]
+    for columns, message in keys:
+        if not set(columns) & set(names):
+            continue
+        mine = fresh.select(*columns).dropna()
+        kept = store.read(meta, [*others, *hit]).join(rids, RID, "left_anti").select(*columns)
+        if not mine.groupBy(*columns).count().filter("count > 1").isEmpty() or not mine.join(kept, list(columns), "left_semi").isEmpty():
+            raise EngineError(message)

@@ -14,7 +14,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.engine import Engine
+from skerry.engine import Connection, Engine
+from skerry.errors import EngineError
 from skerry.operators import changes
 from skerry.operators import relational as r
 
@@ -55,7 +56,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "not_in_list": ("select n_name from nation where n_regionkey not in (1, 3)", None),
     "between": ("select p_partkey from part where p_size between 10 and 20", None),
     "not_between": ("select p_partkey from part where p_size not between 10 and 40", None),
-    "like": ("select p_partkey from part where p_name like '%1%' and p_brand not like '%2'", None),
+    "like": ("select p_partkey from part where p_name like '%r_d%' and p_brand not like '%2'", None),
     "case_simple": ("select n_nationkey, case n_regionkey when 0 then 'zero' when 1 then 'one' else 'more' end kind from nation", None),
     "case_searched": ("select o_orderkey, case when o_totalprice > 200000.0 then 'high' when o_totalprice > 100000.0 then 'mid' end kind from orders", None),
     "is_null": ("select n_nationkey, nullif(n_regionkey, 1) is null missing from nation where nullif(n_regionkey, 2) is not null", "select n_nationkey, cast(nullif(n_regionkey, 1) is null as int) missing from nation where nullif(n_regionkey, 2) is not null"),
@@ -67,7 +68,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "join_right": ("select l.l_partkey, o.o_orderkey from lineitem l right outer join orders o on o.o_orderkey = l.l_orderkey and l.l_quantity > 25", None),
     "join_cross_on": ("select n.n_name, r.r_name from nation n cross join region r on n.n_regionkey = r.r_regionkey", "select n.n_name, r.r_name from nation n join region r on n.n_regionkey = r.r_regionkey"),
     "join_theta": ("select n.n_nationkey, r.r_regionkey from nation n join region r on n.n_regionkey > r.r_regionkey", None),
-    "join_composite": ("select a.n_nationkey, b.s_suppkey from nation a join supplier b on a.n_nationkey = b.s_nationkey and a.n_regionkey = b.s_suppkey - 10", None),
+    "join_composite": ("select l.l_orderkey, l.l_partkey, o.o_custkey from lineitem l join orders o on l.l_orderkey = o.o_orderkey and l.l_linenumber = o.o_custkey % 7", None),
     "join_residual": ("select o.o_orderkey, c.c_custkey from orders o join customer c on o.o_custkey = c.c_custkey and c.c_acctbal > 0.0 and o.o_totalprice > 100000.0", None),
     "join_self": ("select a.n_name, b.n_name other from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey", None),
     "join_derived": ("select c.c_custkey, t.n from customer c join (select o_custkey k, count(*) n from orders group by o_custkey) t on c.c_custkey = t.k where t.n > 10", "select c.c_custkey, t.n from customer c join (select o_custkey k, count(*) n from orders group by o_custkey) t on c.c_custkey = t.k where t.n > 10"),
@@ -82,9 +83,19 @@ SQL: dict[str, tuple[str, str | None]] = {
     "agg_distinct": ("select o_orderstatus, count(distinct o_custkey) n, sum(distinct o_custkey) s from orders group by o_orderstatus", "select o_orderstatus, count(distinct o_custkey) n, cast(sum(distinct o_custkey) as bigint) s from orders group by o_orderstatus"),
     "agg_group_null": ("select nullif(n_regionkey, 1) k, count(*) n from nation group by nullif(n_regionkey, 1)", None),
     "agg_last_row": ("select o_custkey, o_totalprice, count(*) n from orders group by o_custkey", "select o_custkey, arg_max(o_totalprice, o_orderkey) o_totalprice, count(*) n from orders group by o_custkey"),
-    "order_asc_nulls": ("select n_nationkey, nullif(n_regionkey, 0) k from nation order by nullif(n_regionkey, 0), n_nationkey limit 23", "select n_nationkey, nullif(n_regionkey, 0) k from nation order by nullif(n_regionkey, 0) nulls last, n_nationkey limit 23"),
-    "order_desc_nulls": ("select n_nationkey, nullif(n_regionkey, 4) k from nation order by nullif(n_regionkey, 4) desc limit 22", "select n_nationkey, nullif(n_regionkey, 4) k from nation order by nullif(n_regionkey, 4) desc nulls last, n_nationkey limit 22"),
-    "order_multi_key": ("select o_orderkey, o_orderstatus from orders order by o_orderstatus desc, o_custkey, o_orderkey limit 50", None),
+    "order_asc_nulls": ("select n_nationkey, nullif(n_regionkey, 0) k from nation order by nullif(n_regionkey, 0)", "select n_nationkey, nullif(n_regionkey, 0) k from nation order by nullif(n_regionkey, 0) nulls last, n_nationkey"),
+    "order_desc_nulls": ("select n_nationkey, nullif(n_regionkey, 4) k from nation order by nullif(n_regionkey, 4) desc", "select n_nationkey, nullif(n_regionkey, 4) k from nation order by nullif(n_regionkey, 4) desc nulls last, n_nationkey"),
+    "order_multi_key": ("select o_orderkey, o_orderstatus from orders order by o_orderstatus desc, o_custkey, o_orderkey", None),
+    "order_by_alias": ("select o_custkey k, count(*) n from orders group by o_custkey order by n desc, k limit 20", None),
+    "order_by_aggregate": ("select o_custkey from orders group by o_custkey having count(*) > 1 order by sum(o_totalprice) desc, o_custkey limit 20", None),
+    "limit_scan": ("select count(*) n from (select o_orderkey from orders limit 7) t", None),
+    "star_of_table": ("select n.*, r.r_name from nation n join region r on n.n_regionkey = r.r_regionkey", None),
+    "modulo": ("select o_orderkey, o_custkey % 7 m, (0 - o_custkey) % 5 neg, o_orderkey % (o_custkey % 2) z from orders", "select o_orderkey, o_custkey % 7 as m, (0 - o_custkey) % 5 as neg, o_orderkey % nullif(o_custkey % 2, 0) as z from orders"),
+    "not_in_subquery_nulls": ("select n_nationkey, n_name from nation where n_nationkey > 3 and n_nationkey not in (select nullif(r_regionkey, 9) from region) and n_nationkey not in (select o_custkey from orders where o_orderkey < 0)", "select n_nationkey, n_name from nation where n_nationkey > 3 and n_nationkey not in (select r_regionkey from region)"),
+    "not_in_subquery_unknown": ("select count(*) n from nation where n_nationkey not in (select nullif(r_regionkey, 2) from region)", "select count(*) n from nation where n_nationkey not in (select nullif(r_regionkey, 2) from region)"),
+    "union_chained": ("select n_nationkey k, n_name s from nation where n_nationkey < 3 union all select r_regionkey, r_name from region union select n_nationkey, n_name from nation where n_nationkey in (1, 2)", "select n_nationkey k, n_name s from nation where n_nationkey < 3 union all (select r_regionkey, r_name from region union select n_nationkey, n_name from nation where n_nationkey in (1, 2))"),
+    "union_arms_ordered": ("select o_orderkey k from orders order by o_totalprice desc, o_orderkey limit 5 union all select c_custkey from customer order by c_acctbal, c_custkey limit 5", "(select o_orderkey k from orders order by o_totalprice desc, o_orderkey limit 5) union all (select c_custkey from customer order by c_acctbal, c_custkey limit 5)"),
+    "fn_version": ("select version() like '%.%' v", "select cast(1 as int) v"),
     "top_k": ("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10", None),
     "limit_offset": ("select o_orderkey from orders order by o_orderkey limit 10 offset 25", None),
     "union_all": ("select n_regionkey k from nation union all select r_regionkey from region", None),
@@ -104,17 +115,31 @@ NATION = "create table nation { n_nationkey int primary key auto_increment, n_na
 REGION = "create table region { r_regionkey int primary key, r_name varchar(64) }"
 
 
+def _shared(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the folder that driver and executors share, deleted when the application ends."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{shared or tempfile.mkdtemp(prefix='skerry-')}/{kind}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Connection:
+    """A connection to fresh copies of nation and region."""
+    e = Engine(spark, _shared(spark, "store"))
+    db = e.connect()
+    db.execute(NATION.replace(" auto_increment", ""))
+    db.execute(REGION)
+    for name in ("nation", "region"):
+        changes.insert_frame(e.store, name, r.scan(spark, sf_dir, name).select(*e.store.meta(name).names))
+    return db
+
+
 def _changed(*statements: str, final: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skerry-")
-        e = Engine(spark, f"{shared}/store-{uuid.uuid4().hex}")
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(e.store.root)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-        db = e.connect()
-        db.execute(NATION.replace(" auto_increment", ""))
-        db.execute(REGION)
-        for name in ("nation", "region"):
-            changes.insert_frame(e.store, name, r.scan(spark, sf_dir, name).select(*e.store.meta(name).names))
+        db = _stored(spark, sf_dir)
         for s in statements:
             db.execute(s)
         return db.query(final).frame
@@ -122,6 +147,28 @@ def _changed(*statements: str, final: str) -> Query:
     return query
 
 
+def _refused(*statements: str) -> Query:
+    """What the engine says to statements that it refuses, and that nothing has changed."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db, said = _stored(spark, sf_dir), []
+        for k, s in enumerate(statements):
+            try:
+                db.query(s).rows() if s.startswith("select") else db.execute(s)
+                said.append((k, "accepted"))
+            except EngineError as e:
+                said.append((k, str(e)))
+        left = db.query("select count(*) + sum(n_nationkey) from nation").frame.toDF("left")
+        return spark.createDataFrame(said, "k int, message string").crossJoin(F.broadcast(left))
+
+    return query
+
+
+def _refusals(*messages: str) -> str:
+    rows = ", ".join(f"({k}, '{m}')" for k, m in enumerate(messages))
+    return f"select cast(k as int) k, message, (select cast(count(*) + sum(n_nationkey) as bigint) from nation) as left from (values {rows}) t(k, message)"
+
+
 _N = "cast(n_nationkey as bigint) n_nationkey, n_name, cast(n_regionkey as bigint) n_regionkey"
 CHANGES: dict[str, tuple[Query, str]] = {
     "dml_insert": (_changed("insert into nation(n_nationkey, n_name) values (100, 'A'), (101, 'B')", "insert into nation(n_nationkey, n_name, n_regionkey) values (102, concat('C', 1), 1 + 1)", final="select * from nation"), f"select {_N} from nation union all values (100, 'A', 7), (101, 'B', 7), (102, 'C1', 2)"),
@@ -131,6 +178,15 @@ CHANGES: dict[str, tuple[Query, str]] = {
     "dml_update": (_changed("update nation set n_regionkey = n_regionkey + 10, n_name = concat(n_name, n_regionkey) where n_nationkey < 10", final="select * from nation"), "select cast(n_nationkey as bigint) n_nationkey, case when n_nationkey < 10 then n_name || (n_regionkey + 10) else n_name end n_name, cast(case when n_nationkey < 10 then n_regionkey + 10 else n_regionkey end as bigint) n_regionkey from nation"),
     "dml_multi_update": (_changed("update nation n join region r on n.n_regionkey = r.r_regionkey set n.n_name = r.r_name, r.r_name = 'seen' where r.r_regionkey < 2", final="select n_name s from nation union all select r_name from region"), "select case when r_regionkey < 2 then r_name else n_name end s from nation join region on n_regionkey = r_regionkey union all select case when r_regionkey < 2 then 'seen' else r_name end from region"),
     "dml_move_key": (_changed("update nation set n_nationkey = n_nationkey + 1000 where n_regionkey = 3", final="select * from nation"), "select cast(case when n_regionkey = 3 then n_nationkey + 1000 else n_nationkey end as bigint) n_nationkey, n_name, cast(n_regionkey as bigint) n_regionkey from nation"),
+    "dml_self_delete": (_changed("delete a, b from nation a join nation b on a.n_nationkey + 1 = b.n_nationkey where a.n_nationkey = 3 or a.n_nationkey = 8", final="select * from nation"), f"select {_N} from nation where n_nationkey not in (3, 4, 8, 9)"),
+    "dml_self_update": (_changed("update nation a join nation b on a.n_nationkey + 1 = b.n_nationkey set a.n_name = 'first', b.n_regionkey = 77, b.n_name = concat(b.n_name, '!') where a.n_nationkey in (3, 8)", final="select * from nation"), "select cast(n_nationkey as bigint) n_nationkey, case when n_nationkey in (3, 8) then 'first' when n_nationkey in (4, 9) then n_name || '!' else n_name end n_name, cast(case when n_nationkey in (4, 9) then 77 else n_regionkey end as bigint) n_regionkey from nation"),
+    "dml_update_top": (_changed("update nation set n_regionkey = 50 order by n_name desc limit 4", final="select * from nation"), f"select n_nationkey, n_name, case when n_nationkey in (select n_nationkey from nation order by n_name desc, n_nationkey limit 4) then 50 else n_regionkey end n_regionkey from (select {_N} from nation)"),
+    "dml_delete_using": (_changed("delete from nation using nation join region on nation.n_regionkey = region.r_regionkey where region.r_regionkey < 2", final="select * from nation"), f"select {_N} from nation where n_regionkey >= 2"),
+    "dml_auto_increment": (_changed("create table t { id int primary key auto_increment, v varchar(9) }", "insert into t(v) values ('a'), ('b')", "insert into t(id, v) values (9, 'c'), (NULL, 'd')", final="select * from t"), "select * from (values (cast(1 as bigint), 'a'), (2, 'b'), (9, 'c'), (4, 'd')) t(id, v)"),
+    "dml_script": (_changed("insert into nation(n_nationkey, n_name) values (300, 'x'); update nation set n_name = 'y' where n_nationkey = 300; delete from nation where n_nationkey < 20;", final="select * from nation"), f"select {_N} from nation where n_nationkey >= 20 union all values (300, 'y', 7)"),
+    "dml_unique_violations": (_refused("insert into nation(n_nationkey, n_name) values (3, 'again')", "insert into nation(n_nationkey, n_name) values (900, 'x'), (900, 'y')", "update nation set n_nationkey = 1 where n_nationkey = 2", "insert into nation(n_nationkey) values (901)"), _refusals("Duplicated primary key, must be unique.", "Duplicated primary key, must be unique.", "Duplicated primary key, in table: nation", "Column: n_name must not be null in table: nation")),
+    "refused_queries": (_refused("select n_name from nation group by n_name", "select sum(count(n_nationkey)) from nation", "select nope(n_name) from nation", "select length(n_name) from nation union all select n_name from nation", "select n_name from nation union all select n_name, n_nationkey from nation", "select gone from nation"), _refusals("Group by clause without aggregator", "Nested aggregate function", "UDF: nope not found in this env.", "Column not compatible in column[0], left is bigint, but right is string", "Different number of columns, left is 1, but right is 2", "Unresolved symbol: gone")),
+    "ddl_drop_table": (_refused("drop table region", "select r_name from region", "drop table region", "drop table if exists region"), _refusals("accepted", "Table: region not found", "Table `region` not found", "accepted")),
     "ddl_add_column": (_changed("alert table nation add column extra int not null default 4 first", "alert table nation add column note varchar(9) after n_nationkey", final="select * from nation"), "select cast(4 as bigint) extra, cast(n_nationkey as bigint) n_nationkey, cast(null as varchar) note, n_name, cast(n_regionkey as bigint) n_regionkey from nation"),
     "ddl_change_column": (_changed("alert table nation change column n_regionkey region varchar(9)", final="select * from nation"), "select cast(n_nationkey as bigint) n_nationkey, n_name, cast(n_regionkey as varchar) region from nation"),
     "ddl_modify_column": (_changed("alert table nation modify column n_regionkey double", final="select n_nationkey, n_regionkey from nation"), "select cast(n_nationkey as bigint) n_nationkey, cast(n_regionkey as double) n_regionkey from nation"),
@@ -144,9 +200,58 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).connect().prepare("select o_orderkey, ? label from orders where o_orderkey between ? and ?").bind(0, "x").bind(1, 10).bind(2, 20).query().frame
 
 
+def prepared_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared INSERT, UPDATE and DELETE, bound and run again with other values."""
+    db = _stored(spark, sf_dir)
+    add, turn, gone = db.prepare("insert into nation(n_nationkey, n_name, n_regionkey) values (?, ?, ?)"), db.prepare("update nation set n_name = ? where n_nationkey = ?"), db.prepare("delete from nation where n_regionkey = ?")
+    for k, name in ((500, "p"), (501, "q")):
+        add.bind(0, k).bind(1, name).bind(2, None).execute()
+    turn.bind(0, "turned").bind(1, 500).execute()
+    gone.bind(0, 2).execute()
+    return db.query("select * from nation").frame
+
+
+def script_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script of several statements, read from a file."""
+    db, path = _stored(spark, sf_dir), _shared(spark, "script")
+    spark.createDataFrame([("delete from nation where n_regionkey = 0;\ncreate table t { a int };\ninsert into t(a) values (1), (2);",)], "value string").coalesce(1).write.text(path)
+    db.execute_file(path)
+    return db.query("select n_name s from nation union all select concat(a, '') from t").frame
+
+
+def cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and columns as a result set's cursor hands them out."""
+    found = engine(spark, sf_dir).connect().query("select n_nationkey, n_name from nation order by n_nationkey")
+    return spark.createDataFrame(list(found), ", ".join(f"{n} {'string' if k == 'str' else k}" for n, k in found.columns))
+
+
+def mock_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation of given rows, joined with a table."""
+    e = engine(spark, sf_dir)
+    e.register("given", spark.createDataFrame([(1, "one"), (3, "three"), (None, "none")], "k bigint, word string"), ["k"])
+    return e.connect().query("select g.word, r.r_name from given g left join region r on g.k = r.r_regionkey").frame
+
+
+def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar functions by signature, over pandas Series and over single values."""
+    e = engine(spark, sf_dir)
+    e.register_udf("Doubled", lambda a: a * 2, "bigint->bigint")
+    e.register_udf("shout", lambda s, n: None if s is None else s.upper() + "!" * n, "str,int->str", vector=False)
+    return e.connect().query("select n_nationkey, doubled(n_nationkey) d, SHOUT(n_name, 2) s from nation").frame
+
+
+def user_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates of the user's, grouped and with HAVING and ORDER BY over them."""
+    e = engine(spark, sf_dir)
+    e.register_udaf("spread", lambda c: F.max(c) - F.min(c), "bigint->bigint")
+    e.register_udaf("product_sum", lambda a, b: F.sum(a * b), "bigint,bigint->bigint")
+    return e.connect().query("select o_orderstatus, spread(o_custkey) s, product_sum(o_custkey, o_orderkey % 10) + 1 p, count(*) n from orders group by o_orderstatus having spread(o_custkey) > 0 order by spread(o_custkey)").frame
+
+
 def approx_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HyperLogLog++ estimates of key cardinality."""
-    return r.scan(spark, sf_dir, "orders").agg(F.approx_count_distinct("o_custkey", 0.01).alias("customers"), F.approx_count_distinct("o_orderkey", 0.01).alias("orders"))
+    """Whether HyperLogLog++ estimates of key cardinality are within a tenth of the exact ones."""
+    near = lambda c: (F.abs(F.approx_count_distinct(c, 0.01) - F.count_distinct(F.col(c))) <= 0.1 * F.count_distinct(F.col(c)))
+    return r.scan(spark, sf_dir, "orders").agg(near("o_custkey").alias("customers"), near("o_orderkey").alias("orders"))
 
 
 def op_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +279,13 @@ def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OTHERS: dict[str, tuple[Query, str | None]] = {
     "prepared": (prepared, "select o_orderkey, 'x' label from orders where o_orderkey between 10 and 20"),
-    "approx_cardinality": (approx_cardinality, None),
+    "prepared_changes": (prepared_changes, "select cast(n_nationkey as bigint) n_nationkey, n_name, cast(n_regionkey as bigint) n_regionkey from nation where n_regionkey <> 2 union all values (500, 'turned', null), (501, 'q', null)"),
+    "script_file": (script_file, "select n_name s from nation where n_regionkey <> 0 union all values ('1'), ('2')"),
+    "result_cursor": (cursor, "select n_nationkey, n_name from nation"),
+    "mock_rows": (mock_rows, "select word, r_name from (values (1, 'one'), (3, 'three'), (null, 'none')) g(k, word) left join region on k = r_regionkey"),
+    "user_functions": (user_functions, "select n_nationkey, cast(n_nationkey * 2 as bigint) d, upper(n_name) || '!!' s from nation"),
+    "user_aggregates": (user_aggregates, "select o_orderstatus, max(o_custkey) - min(o_custkey) s, cast(sum(o_custkey * (o_orderkey % 10)) as bigint) + 1 p, count(*) n from orders group by o_orderstatus having max(o_custkey) > min(o_custkey)"),
+    "approx_cardinality": (approx_cardinality, "select true customers, true orders"),
     "op_range": (op_range, "select o_orderkey from orders where o_orderkey > 100 and o_orderkey <= 200"),
     "op_points": (op_points, "select p_partkey, p_name from part where p_partkey in (1, 5)"),
     "op_renaming": (op_renaming, "select r_regionkey k, r_name as name from region"),

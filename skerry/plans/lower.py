@@ -110,12 +110,12 @@ class Lowering:
             return self._result(r.one_row(self.spark), made, names)
         rel = self.source(node.source)
         if node.where is not None:
-            rel.df = rel.df.filter(self.condition(node.where, rel))
+            rel.df = rel.df.filter(self.where(node.where, rel))
         items = self._expanded(node.items, rel)
         known: dict[Any, tuple[Column, str]] = {}
         aliases = {i.alias: i.expr for i in items if i.alias}
         order = [(aliases[e.name] if isinstance(e, t.Name) and e.table is None and e.name in aliases and not any(f.name == e.name for f in rel.fields) else e, down) for e, down in node.order]
-        calls = list(dict.fromkeys(c for e in (*(i.expr for i in items), node.having, *(e for e, _ in order)) for c in aggregate_calls(e)))
+        calls = list(dict.fromkeys(c for e in (*(i.expr for i in items), node.having, *(e for e, _ in order)) for c in self.aggregates(e)))
         if node.group or calls:
             if not calls:
                 raise EngineError("Group by clause without aggregator")
@@ -168,7 +168,7 @@ class Lowering:
         known: dict[Any, tuple[Column, str]] = {}
         keys, aggregates = [], []
         for e in node.group:
-            if aggregate_calls(e):
+            if self.aggregates(e):
                 raise EngineError("Aggregate function in GROUP BY")
             c, kind = self.expr(e, rel)
             name = f"_{next(_fresh)}"
@@ -193,9 +193,20 @@ class Lowering:
             out.df = out.df.filter(exprs.truthy(c, kind))
         return out, known
 
+    def aggregates(self, node) -> list[t.Call]:
+        """The aggregate calls of an expression, the engine's and users' own."""
+        if isinstance(node, t.Call) and (node.name in AGGREGATES or self.functions.find_aggregate(node.name)):
+            return [node]
+        return [c for x in children(node) for c in self.aggregates(x)]
+
     def _aggregate(self, call: t.Call, rel: Relation) -> tuple[Column, str]:
-        if any(aggregate_calls(a) for a in call.args):
+        if any(self.aggregates(a) for a in call.args):
             raise EngineError("Nested aggregate function")
+        if call.name not in AGGREGATES:
+            function, arity, result = self.functions.find_aggregate(call.name)
+            if arity != len(call.args) or call.distinct or any(isinstance(a, t.Star) for a in call.args):
+                raise EngineError(f"Invalid number of arguments, need {arity}, expected: {len(call.args)}")
+            return function(*(exprs.shown(*self.expr(a, rel)) for a in call.args)).cast(result), exprs.kind_of(result)
         if call.name == "count":
             if not call.args or isinstance(call.args[0], (t.Star, t.Literal)) and getattr(call.args[0], "value", 0) is not None:
                 return F.count(F.lit(1)), "int"
@@ -238,6 +249,28 @@ class Lowering:
     def condition(self, node, rel: Relation) -> Column:
         return exprs.truthy(*self.expr(node, rel))
 
+    def where(self, node, rel: Relation) -> Column:
+        """The condition of a WHERE, where unknown counts as false, so NOT IN (SELECT …) becomes a plain anti join that can shuffle.
+
+        Spark's own plan for it broadcasts every key of the subquery. Whether there are keys and NULLs among them are two counts.
+        """
+        if isinstance(node, t.Binary) and node.op == "and":
+            return self.where(node.left, rel) & self.where(node.right, rel)
+        if not (isinstance(node, t.In) and node.negated and node.query is not None):
+            return self.condition(node, rel)
+        c, kind = self.expr(node.of, rel)
+        inner, key = self._single(node.query), f"_{next(_fresh)}"
+        df, c = inner.df.toDF(key), exprs.shown(c, kind)
+        sizes = df.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("known"))
+        met = df.filter(F.col(key) == c.outer()).exists()
+        return ~met & ((sizes.select("n").scalar() == 0) | c.isNotNull() & (sizes.select(F.col("n") == F.col("known")).scalar()))
+
+    def _single(self, query) -> Result:
+        inner = self.query(query)
+        if len(inner.names) != 1:
+            raise EngineError(f"Different number of columns, left is 1, but right is {len(inner.names)}")
+        return inner
+
     def expr(self, node, rel: Relation, known: dict | None = None) -> tuple[Column, str]:
         if known and node in known:
             return known[node]
@@ -265,10 +298,9 @@ class Lowering:
             case t.In():
                 c, kind = go(node.of)
                 if node.query is not None:
-                    inner = self.query(node.query)
-                    if len(inner.names) != 1:
-                        raise EngineError(f"Different number of columns, left is 1, but right is {len(inner.names)}")
-                    out = exprs.shown(c, kind).isin(inner.df)
+                    out = exprs.shown(c, kind).isin(self._single(node.query).df)
+                elif len(node.items) > 1 and all(isinstance(x, t.Literal) and type(x.value) is {"int": int, "str": str}.get(kind) for x in node.items):
+                    out = c.isin([x.value for x in node.items])
                 else:
                     out = None
                     for x in node.items:
@@ -342,7 +374,7 @@ class Lowering:
         return out, kind
 
     def _call(self, node: t.Call, go) -> tuple[Column, str]:
-        if node.name in AGGREGATES:
+        if node.name in AGGREGATES or self.functions.find_aggregate(node.name):
             raise EngineError(f"Aggregate function {node.name} is not allowed here")
         args = [go(a) for a in node.args if not isinstance(a, t.Star)]
         if node.name == "version":
@@ -383,12 +415,6 @@ def children(node) -> list:
     return [x for x in out if hasattr(x, "__dataclass_fields__")]
 
 
-def aggregate_calls(node) -> list[t.Call]:
-    if isinstance(node, t.Call) and node.name in AGGREGATES:
-        return [node]
-    return [c for x in children(node) for c in aggregate_calls(x)]
-
-
 def names_outside(node, known: dict) -> list[t.Name]:
     """Column names of an expression that are not within something known."""
     if node is None or node in known:

@@ -215,6 +215,44 @@ def test_snapshot_and_plans(db):
     assert "PushedFilters: [IsNotNull(c0), GreaterThanOrEqual(c0,100), LessThan(c0,200)]" in plan and "Python" not in plan
 
 
+def test_two_writers(db):
+    db.execute(NINE)
+    store = db.engine.store
+    one, two = store.meta("t1"), store.meta("t1")
+    one.counter = 50
+    store.commit(one)
+    two.counter = 60
+    with pytest.raises(EngineError, match="changed by another writer"):
+        store.commit(two)
+    assert store.meta("t1").counter == 50 and store.names() == ["t1"]
+
+
+def test_changes_rewrite_only_files_that_hold_rows(db, spark):
+    from skerry.operators.changes import insert_frame
+
+    db.execute("create table t { a int primary key, b int }")
+    for k in range(3):
+        insert_frame(db.engine.store, "t", spark.range(100 * k, 100 * k + 100, 1, 2).selectExpr("id a", "id % 7 b"))
+    before = set(db.engine.store.meta("t").folders)
+    assert db.execute("update t set b = 100 where a between 130 and 140") == 11 and db.execute("delete from t where a = 250") == 1
+    after = db.engine.store.meta("t").folders
+    assert len(before & set(after)) == 1 and sum("/" in f for f in after) == 2
+    assert rows(db, "select count(*), sum(a), count(distinct b), sum(b) from t") == [(299, sum(range(300)) - 250, 8, sum(100 if 130 <= a <= 140 else a % 7 for a in range(300) if a != 250))]
+    assert db.engine.store.clean("t") == 2 and rows(db, "select count(*) from t") == [(299,)]
+    with pytest.raises(EngineError, match="Duplicated primary key"):
+        db.execute("update t set a = 299 where a = 5")
+    assert db.execute("update t set a = a + 1000") == 299 and rows(db, "select min(a), max(a) from t") == [(1000, 1299)]
+    assert db.execute("delete from t") == 299 and db.execute("delete from t") == 0 and db.execute("update t set b = 1") == 0
+
+
+def test_one_table_under_two_names(db):
+    db.execute(NINE)
+    assert db.execute("update t1 x join t1 y on x.id + 1 = y.id set x.name = NULL, y.name = 'later', y.b = 9 where x.id in (1, 2)") == 4
+    assert rows(db, "select id, name, b from t1 where id < 4 order by id") == [(1, None, 200), (2, "later", 9), (3, "later", 9)]
+    assert db.execute("delete x, y from t1 x join t1 y on x.id + 1 = y.id where x.id > 6") == 3
+    assert rows(db, "select count(*), max(id) from t1") == [(6, 6)]
+
+
 @pytest.mark.parametrize("sql", ["select", "select 1 from", "selec 1", "select a from t where", "create table t (a int)", "insert into t values (1)", "select 'a", "select 1 union", "select a from t order a", "update t a = 1", "select * from t join u", "alter table t drop column a"])
 def test_syntax_errors(db, sql):
     with pytest.raises(SyntaxProblem, match=r"^\[\d+:\d+\]"):
