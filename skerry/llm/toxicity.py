@@ -8,13 +8,15 @@ labels hold for whole documents, so the units that explain them are found first,
 documents share and clean ones lack; then clean units that score highest are added in rounds. A document scores as its worst
 unit, turned into a probability by a logistic fit on the training documents.
 
-Training takes a bounded sample: about SAMPLE documents of each label, those with the least hashes of doc_id.
+Training takes a bounded sample: about SAMPLE documents of each label, those with the least hashes of doc_id; texts of more than LONGEST characters
+don't teach, as a label says little about any one sentence of theirs. It runs in one task; the driver gets the model alone.
 Defined results: null, empty and wordless texts get the score of a text with no suspicious unit; labels that are
 null don't teach; without labels of both kinds every score is 0; repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 import zlib
@@ -29,10 +31,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import Memo, arrow, only, split_words
+from skerry.llm.common import Memo, arrow, forget, only, split_words
 
 #: At most about so many labelled documents, clean and toxic, teach the model; of the clean ones' units, so many.
-SAMPLE, CLEAN_UNITS = (3000, 1500), 30_000
+SAMPLE, CLEAN_UNITS, LONGEST = (3000, 1500), 30_000, 50_000
 #: Kernel: weight of a character spanned, weight of common pairs against common triples, most characters in a unit.
 DECAY, PAIRS, WINDOW = 0.6, 0.5, 9
 LANDMARKS = 40
@@ -243,7 +245,7 @@ def train(docs: list[tuple[str, int]]) -> Model | None:
         return None
     find = re.compile("|".join(map(re.escape, sorted(marks, key=len, reverse=True))))
     seen = Counter(u for words in toxic for w in words if find.search(w) for u in units_of(w) if find.search(u))
-    positive = [u for u, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:2000]]
+    positive = [u for u, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
     held_by: Counter = Counter()  # clean units, and in about how many documents each is
     for w, n in frequent.items():
         for u in units_of(w):
@@ -327,8 +329,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(2.0**64 * min(1.0, SAMPLE[k] / max(sizes.get(k, 0), 1)) - 2.0**63)) for k in (0, 1)))
     sample = known.filter(F.xxhash64("doc_id").cast("double") < share[F.col("toxic")])
-    rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
-    return train([(r["text"], r["toxic"]) for r in rows.orderBy("doc_id", "text").collect()])  # about sum(SAMPLE) rows
+    rows = docs.filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    arrow(spark)
+    made = rows.repartition(1).mapInArrow(_train, "model binary").collect()  # about sum(SAMPLE) rows in one task, and one row from it
+    return pickle.loads(bytes(made[0]["model"])) if made else None
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
+    docs = sorted(x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    model = train([(text, toxic) for _, text, toxic in docs])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 class Scorer:
