@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -30,24 +31,37 @@ def arrow(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on this machine."""
     sc = spark.sparkContext
     set_to = sc._jsc.sc().getCheckpointDir()
     if set_to.isDefined():
         return set_to.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skerry-"))
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skerry-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint.
-
-    Shuffles and checkpoints that nothing refers to any more go at once; else their files stay until the driver happens to collect its garbage.
-    """
+    """The same rows with their lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    return df.checkpoint(eager=True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of shuffles and checkpoints that nothing refers to any more; else their files stay until the driver happens to collect its garbage."""
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores before it as it takes to be no column of df."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
     return out
 
 
@@ -64,6 +78,7 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     """The rows, written as Parquet into the shared folder and read back."""
     path = new_folder(df.sparkSession, kind)
     df.write.parquet(path)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import checkpoint
+from skerry.llm.common import checkpoint, tidy
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,5 +26,6 @@ def components(links: DataFrame) -> DataFrame:
         lower = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(lower, F.col("a") == F.col("u")).select("a", "b", "m")
         stars = checkpoint(down(small.select(F.explode(F.array("a", "b")).alias("x"), "m"), "x", "m"))
+    tidy(links.sparkSession)
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)

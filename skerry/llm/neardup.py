@@ -5,9 +5,8 @@ from counters over all documents (two rows of CELLS counters, the lesser counts,
 counter is shared by many shingles the weight falls towards 1, for every document alike). ICWS draws samples that two documents share with
 probability equal to their weighted Jaccard similarity; samples are banded, and documents that share a band are candidates.
 
-Within a band's bucket every document is first compared with two hubs drawn for the bucket. Further rounds draw new hubs in buckets where
-classes are still apart and compare them with what is not yet of their class; then all pairs of classes still uncompared are found by exact
-prefix filtering (`remaining_candidates`), however many a bucket holds. A pair links if its exact weighted Jaccard similarity is 0.8 or more. Links make classes; texts equal in every byte are one node from the start.
+Within a band's bucket every document is first compared with two hubs drawn for the bucket. Where classes are still apart in a bucket, its
+documents of different classes are then compared each with each, in blocks that give links alone and never pairs (`open_links`). A pair links if its exact weighted Jaccard similarity is 0.8 or more. Links make classes; texts equal in every byte are one node from the start.
 
 Defined results: null text counts as empty; texts without words are like only to equal ones; texts with fewer words than a shingle count
 as one shingle; repeated rows are copies; class_id is the least doc_id of the class (null only if all ids are null); an empty table gives none.
@@ -20,20 +19,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import U64, arrow, checkpoint, forget, mix, written
+from skerry.llm.common import U64, arrow, checkpoint, forget, mix, tidy, unused, written
 from skerry.llm.graph import components
 from skerry.llm.shingles import HASH_BITS, count_cells, distinct_counts, key_filter, shingles, sifted, word_hashes
 
 THRESHOLD = 0.8
 #: Bands and samples in each: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**3)**8 = 0.997.
 BANDS, ROWS = 8, 3
+#: Nodes and characters in a block when all of a bucket's are compared, and shingles in a matrix there.
+BLOCK, CHARS, _WIDE = 512, 4_000_000, 2048
 #: Counters in each of two rows.
 CELLS = 1 << 20
-#: Rounds of hubs in buckets that hold more than one class, before the exact comparison of the rest.
-ROUNDS = 3
 
 
 def _cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,14 +161,11 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights | None, thresh
     return pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def first_candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows(bucket, node) as pairs(a, b), each node with two hubs of its bucket, and the rows of nodes that are no hubs there."""
+def with_hubs(rows: DataFrame) -> DataFrame:
+    """rows(bucket, node) of buckets that hold several nodes, with two hubs drawn for the bucket: (bucket, node, low, high)."""
     drawn = lambda c: F.col(c).bitwiseXOR(F.col("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min(drawn("node")).alias("low"), F.max(drawn("node")).alias("high")).filter("low < high")
-    hubs = hubs.select("bucket", drawn("low").alias("low"), drawn("high").alias("high"))
-    met = rows.join(hubs, "bucket")
-    pairs = met.select("node", F.explode(F.array("low", "high")).alias("hub")).filter("node <> hub")
-    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), met.filter("node <> low and node <> high").select("bucket", "node")
+    return rows.join(hubs.select("bucket", drawn("low").alias("low"), drawn("high").alias("high")), "bucket")
 
 
 def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -179,107 +175,135 @@ def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return classed.join(several.select("bucket"), "bucket", "left_semi")
 
 
-def further_candidates(rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """The same for open rows(bucket, node, root), with hubs drawn anew for each bucket and turn; only pairs of different classes."""
-    drawn = F.xxhash64("bucket", "node", F.lit(turn))
-    hubs = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), drawn).alias("one"), F.max_by(F.struct("node", "root"), drawn).alias("two"))
-    met = rows.join(hubs, "bucket")
-    pairs = met.select("node", "root", F.explode(F.array("one", "two")).alias("hub")).filter("root <> hub.root")
-    return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), met.filter("node <> one.node and node <> two.node").select("bucket", "node")
+def dealt(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """Open rows(bucket, node, root) as the units of work that compare all nodes of different classes: (bucket, i, j, side, node, root).
 
-
-def remaining_candidates(nodes: DataFrame, texts: DataFrame, weights: Weights | None, threshold: float) -> DataFrame:
-    """All pairs of nodes(node, root) of different classes that can reach the threshold, by exact prefix filtering.
-
-    Shingles are put in one order for all nodes, rare ones first. The first one that two similar sets share has at least `threshold` of either's weight
-    from it on, so it lies in a short prefix of both, and texts made from one template don't meet in the template.
+    In a bucket the nodes of its largest class are dealt over blocks, and so are all others; every block of others meets itself (i = j), every later
+    one and every block of the largest class. A block has about BLOCK nodes and CHARS characters, so no bucket has to fit into one task.
     """
-    held = nodes.sparkSession.sparkContext.broadcast(weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sized = left.join(texts.select("node", F.length("text").cast("long").alias("chars")), "node")
+    totals = sized.groupBy("bucket", "root").agg(F.count("*").alias("m"), F.sum("chars").alias("chars"))
+    plan = totals.groupBy("bucket").agg(F.max(F.struct("m", "root", "chars")).alias("top"), F.sum("m").alias("m"), F.sum("chars").alias("chars"))
+    blocks = lambda m, chars: F.greatest(F.ceil(m / BLOCK), F.ceil(chars / CHARS), F.lit(1)).cast("int")
+    plan = plan.select("bucket", F.col("top.root").alias("main"), blocks(F.col("m") - F.col("top.m"), F.col("chars") - F.col("top.chars")).alias("others"), blocks(F.col("top.m"), F.col("top.chars")).alias("mains"))
+    rows = left.join(plan, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    unit = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_main = F.transform(upto("others"), lambda i: unit(i, F.col("others") + F.col("own"), F.lit(1)))
+    as_other = F.concat(F.transform(upto("others"), lambda j: unit(F.least("own", j), F.greatest("own", j), j < F.col("own"))), F.transform(upto("mains"), lambda j: unit(F.col("own"), F.col("others") + j, F.lit(0))))
+    return rows.select("bucket", "node", "root", F.explode(F.when(F.col("root") == F.col("main"), as_main).otherwise(as_other)).alias("u")).select("bucket", "u.i", "u.j", "u.side", "node", "root")
+
+
+def shared_weights(texts: pa.Array, weights: Weights | None, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weight that each text of left has in common with each of right, as a matrix, and every text's whole weight."""
+    hashes, text, counts = distinct_counts(*shingles(*word_hashes(texts)))
+    w = weights.of(hashes).astype(np.float64) if weights else np.ones(len(hashes))
+    if weights:  # a shingle that stands c times counts as c things
+        again = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        hashes, text, w = (np.repeat(x, counts) for x in (hashes, text, w))
+        hashes = mix(hashes + again.astype(U64) * U64(1 << HASH_BITS))
+    whole = np.bincount(text, w, len(texts))
+    _, column, holders = np.unique(hashes, return_inverse=True, return_counts=True)
+    several = np.cumsum(holders > 1) - 1
+    kept = holders[column] > 1
+    column, text, w = several[column[kept]], text[kept], np.sqrt(w[kept])
+    order = np.argsort(column, kind="stable")
+    column, text, w = column[order], text[order], w[order]
+    common = np.zeros((len(left), len(right)))
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, _WIDE):
+        x, y = np.searchsorted(column, (a, a + _WIDE))
+        dense = np.zeros((len(texts), _WIDE))
+        dense[text[x:y], column[x:y] - a] = w[x:y]
+        common += dense[left] @ dense[right].T
+    return common, whole
+
+
+def spanning(linked: np.ndarray) -> np.ndarray:
+    """The least member of each one's component, from a symmetric matrix of links."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(axis=1, initial=len(linked)))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def open_links(left: DataFrame, texts: DataFrame, weights: Weights | None, threshold: float) -> DataFrame:
+    """Links (a, b) between roots of open rows(bucket, node, root): of all nodes that share a bucket and are of different classes, so many that
+    what is alike hangs together."""
+    held = left.sparkSession.sparkContext.broadcast(weights)
+
+    def compare(unit: pa.Table) -> pa.Table:
         forget()
-        for batch in batches:
-            hashes, text, counts = distinct_counts(*shingles(*word_hashes(batch.column("text"))))
-            w = held.value.of(hashes) * counts if held.value else np.ones(len(hashes))
-            owner = pa.array(text)
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(owner), batch.column("root").take(owner), pa.array(hashes.view(np.int64)), pa.array(w.astype(np.float64))], ["node", "root", "shingle", "weight"])
-
-    sets = checkpoint(nodes.join(texts, "node").select("node", "root", "text").mapInArrow(run, "node long, root long, shingle long, weight double"))
-    seen = sets.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    order = Window.partitionBy("node").orderBy("n", "shingle")
-    ahead = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    prefix = sets.join(seen, "shingle").withColumn("ahead", ahead).withColumn("total", F.sum("weight").over(Window.partitionBy("node")))
-    # the small allowance is for rounding
-    prefix = checkpoint(prefix.filter(F.col("low") < F.col("high")).filter(F.col("ahead") >= F.col("total") * (threshold - 1e-6)).select("shingle", "root", "node"))
-    groups = prefix.select("shingle", "root").distinct()
-    across = groups.withColumnRenamed("root", "root_a").join(groups.withColumnRenamed("root", "root_b"), "shingle").filter("root_a < root_b")
-    side = lambda n: prefix.select("shingle", F.col("root").alias(f"root_{n}"), F.col("node").alias(f"node_{n}"))
-    pairs = across.join(side("a"), ["shingle", "root_a"]).join(side("b"), ["shingle", "root_b"])
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-
-
-def classes(rows: DataFrame, texts: DataFrame, weights: Weights | None, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """rows(bucket, node) and texts(node, text): (node, root) of nodes with links, and the links (a, b).
-
-    A bucket is done when its nodes that were no hubs yet are of one class; what is left after the rounds is compared exactly.
+        side, roots = unit.column("side").to_numpy(), unit.column("root").to_numpy()
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if unit.column("i")[0] == unit.column("j")[0]:
+            two = one
+        pairs = []
+        if len(one) and len(two):
+            common, whole = shared_weights(unit.column("text").combine_chunks(), held.value, one, two)
+            alike = (common > 0) & (common >= threshold * (whole[one][:, None] + whole[two][None] - common) - 1e-9) & (roots[one][:, None] != roots[two][None])
+            named, number = np.unique(roots, return_inverse=True)
+            x, y = np.nonzero(alike)
+            linked = np.zeros((len(named), len(named)), bool)
+            linked[number[one[x]], number[two[y]]] = True
+            label = spanning(linked | linked.T)
+            pairs = [(named[k], named[label[k]]) for k in np.flatnonzero(label != np.arange(len(named)))]
+        return pa.table({"a": pa.array([p for p, _ in pairs], pa.int64()), "b": pa.array([p for _, p in pairs], pa.int64())})
+
+    return dealt(left, texts).join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def classes(rows: DataFrame, texts: DataFrame, weights: Weights | None, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct rows(bucket, node) and texts(node, text): (node, root) of nodes with links.
+
+    Nodes meet their buckets' hubs; then the nodes of different classes in a bucket are compared, each with each.
     """
-    found, others = first_candidates(rows)
-    candidates = checkpoint(found)
-    tried = candidates
-    nodes = checkpoint(candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    bits, wanted = key_filter(nodes), nodes.withColumnRenamed("key", "node")
-    # distinct, so that a node with many copies is one row by then
-    left = checkpoint(others.distinct())
+    met = checkpoint(with_hubs(rows))
+    candidates = met.select("node", F.explode(F.array("low", "high")).alias("hub")).filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bits = key_filter(wanted.withColumnRenamed("node", "key"))
     needed = sifted(texts, "node", bits).dropDuplicates(["node"])
     needed = written(needed.join(wanted, "node", "left_semi"), "texts")
-    links = checkpoint(verified(candidates, needed, weights, threshold))
-    roots = components(links)
-    for turn in range(1, rounds + 1):
-        left = checkpoint(open_rows(left, roots))
-        if left.isEmpty():
-            break
-        if turn < rounds:
-            found, left = further_candidates(left, turn)
-        else:
-            found = remaining_candidates(left.select("node", "root").distinct(), needed, weights, threshold)
-        candidates = checkpoint(found.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionAll(candidates)
-        more = checkpoint(verified(candidates, needed, weights, threshold))
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            roots = components(links)
-    return roots, links
+    roots = components(verified(candidates, needed, weights, threshold))
+    left = checkpoint(open_rows(met.filter("node <> low and node <> high").select("bucket", "node"), roots))
+    if left.isEmpty():
+        return roots
+    more = checkpoint(open_links(left, needed, weights, threshold))
+    if more.isEmpty():
+        return roots
+    # the classes so far are stars, so little is left to do
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of docs for each class, with all its columns: that with the least doc_id, nulls last; of equal ones any one."""
     keep, _ = _nodes(docs, threshold)
+    first, named = unused(docs, "_first", "_named")
     order = F.struct(F.col("first").isNull(), "first", "node")
-    chosen = keep.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.first").alias("_id"), F.col("o.node").alias("_node"))
-    rows = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_node")), "inner")
-    return rows.dropDuplicates(["_id", "_node"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    chosen = keep.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.first").alias(first), F.col("o.node").alias(named))
+    rows = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(first)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(named)), "inner")
+    return rows.dropDuplicates([first, named]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs(doc_id, text) as (doc_id, class_id, copies, links): copies are documents with the very same text.
-
-    links counts the comparisons with other texts that were made and reached the threshold, mostly with hubs; it is no count of all similar texts.
-    """
+    """docs(doc_id, text) as (doc_id, class_id, copies): copies are documents with the very same text."""
     nodes, sketched = _nodes(docs, threshold)
     ids = nodes.groupBy("root").agg(F.min("first").alias("class_id"))
-    by_node = nodes.join(ids, "root").select("node", "class_id", "copies", "links")
-    return sketched.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "copies", "links")
+    by_node = nodes.join(ids, "root").select("node", "class_id", "copies")
+    return sketched.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "copies")
 
 
 def _nodes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(node, first, copies, links, root) for each distinct text, and the documents' sketches."""
+    """(node, first, copies, root) for each distinct text, and the documents' sketches."""
     arrow(docs.sparkSession)
     weights = corpus_weights(docs)
     sketched = checkpoint(sketches(docs, weights))
+    tidy(docs.sparkSession)
     rows = sketched.select("node", F.explode("bands").alias("bucket")).distinct()
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    roots, links = classes(rows, texts, weights, threshold)
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    roots = classes(rows, texts, weights, threshold)
     nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    nodes = nodes.join(roots, "node", "left").join(degrees, "node", "left").select("node", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    nodes = nodes.join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root"))
     return checkpoint(nodes), sketched

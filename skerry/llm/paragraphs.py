@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import U64, arrow, checkpoint, forget, mix
+from skerry.llm.common import U64, arrow, checkpoint, forget, mix, unused
 from skerry.llm.neardup import band_keys, classes
 from skerry.llm.shingles import distinct_counts, shingles, word_hashes
 
@@ -75,24 +75,27 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The places to remove: (doc_id, row_key, places), a row for each document that loses a paragraph."""
     arrow(docs.sparkSession)
     every = checkpoint(signed(docs, threshold).select("doc_id", "row_key", "place", "node", "bands"))
-    rows = every.select("node", F.explode("bands").alias("bucket"))
+    # each text once, however often a line is repeated
+    rows = every.select("node", "bands").distinct().select("node", F.explode("bands").alias("bucket"))
     texts = lines(docs).select("node", F.col("para").alias("text"))
-    roots, _ = classes(rows, texts, None, threshold)
+    roots = classes(rows, texts, None, threshold)
     # null ids stand behind the others: the order is (is null, id, row, place)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "place")
-    seen = every.groupBy("node").agg(F.min(order).alias("first"), F.max(order).alias("last"))
-    seen = seen.join(roots, "node", "left").select("node", "first", "last", F.coalesce("root", "node").alias("root"))
-    several = seen.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("last")).filter("keep <> last")
-    keep = checkpoint(seen.join(several.select("root", "keep"), "root").select("node", "keep"))
-    gone = every.select("doc_id", "row_key", "place", "node").join(keep, "node").filter(order != F.col("keep"))
+    classed = every.select("doc_id", "row_key", "place", "node").join(roots, "node", "left").select("doc_id", "row_key", "place", F.coalesce("root", "node").alias("root"))
+    keep = classed.groupBy("root").agg(F.min(order).alias("keep"), F.count("*").alias("n")).filter("n > 1").select("root", "keep")
+    gone = classed.join(keep, "root").filter(order != F.col("keep"))
     return gone.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def without_repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs with repeated paragraphs cut from text, and `removed`: the places of the lines that went."""
-    places = repeats(docs, threshold).select(F.col("doc_id").alias("_of"), F.col("row_key").alias("_row"), F.col("places").alias("_places"))
-    cut = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda x: ~F.array_contains("_places", x["at"])), lambda x: x["line"]), "\n")
-    joined = docs.join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_row")), "left")
-    others = [c for c in docs.columns if c != "removed"]
-    texts = F.when(F.col("_places").isNull(), F.col("text")).otherwise(cut).alias("text")
-    return joined.select(*(texts if c == "text" else F.col(f"`{c}`") for c in others), F.coalesce("_places", F.array().cast("array<int>")).alias("removed"))
+def without_repeats(docs: DataFrame, threshold: float = THRESHOLD, removed: str = "removed") -> DataFrame:
+    """All columns of docs with repeated paragraphs cut from text, and the places of the lines that went, in a column called `removed`.
+
+    A column of docs that has that name is replaced; choose another name to keep it.
+    """
+    of, row, places = unused(docs, "_of", "_row", "_places")
+    found = repeats(docs, threshold).select(F.col("doc_id").alias(of), F.col("row_key").alias(row), F.col("places").alias(places))
+    cut = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda x: ~F.array_contains(places, x["at"])), lambda x: x["line"]), "\n")
+    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(row)), "left")
+    others = [c for c in docs.columns if c != removed]
+    texts = F.when(F.col(places).isNull(), F.col("text")).otherwise(cut).alias("text")
+    return joined.select(*(texts if c == "text" else F.col(f"`{c}`") for c in others), F.coalesce(places, F.array().cast("array<int>")).alias(removed))

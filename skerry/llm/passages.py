@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import U64, arrow, checkpoint, forget, mix
+from skerry.llm.common import U64, arrow, checkpoint, forget, mix, tidy, unused
 from skerry.llm.shingles import MARKS, key_filter, sifted, word_hashes
 
 #: Words in a window, and in the runs that give it its print.
@@ -110,8 +110,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     met = checkpoint(prints.join(several, "print").groupBy("row_key").agg(F.collect_set("print").alias("prints")))
     few = sifted(texts, "row_key", key_filter(met.select(F.col("row_key").alias("key")))).join(met, "row_key")
     every = checkpoint(few.select("doc_id", "row_key", "text", "prints").mapInArrow(_windows, "doc_id long, row_key long, place int, one long, two long"))
+    tidy(docs.sparkSession)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "place")
-    firsts = every.groupBy("one", "two").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first <> last").drop("last")
+    firsts = every.groupBy("one", "two").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = every.join(firsts, ["one", "two"]).filter(order != F.col("first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
     begin = F.when(same, F.greatest("place", F.col("first.place") + PASSAGE)).otherwise(F.col("place"))
@@ -138,8 +139,9 @@ def cut(text: str | None, spans: list | None) -> str | None:
 
 def without_passages(docs: DataFrame) -> DataFrame:
     """All columns of docs, with repeated passages cut from text."""
-    spans = repeated_spans(docs).select(F.col("doc_id").alias("_of"), F.col("row_key").alias("_row"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_row")), "left")
-    changed = F.udf(cut, "string")(F.when(F.col("_spans").isNotNull(), F.col("text")), F.col("_spans"))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(changed).alias("text")
+    of, row, spans = unused(docs, "_of", "_row", "_spans")
+    found = repeated_spans(docs).select(F.col("doc_id").alias(of), F.col("row_key").alias(row), F.col("spans").alias(spans))
+    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(row)), "left")
+    changed = F.udf(cut, "string")(F.when(F.col(spans).isNotNull(), F.col("text")), F.col(spans))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(changed).alias("text")
     return joined.select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns))
