@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm import langid, neardup, packing, paragraphs, passages, toxicity
-from skerry.llm.common import crc_of_id, table, written
+from skerry.llm.common import crc_of_id, table, unused, written
 from skerry.llm.wordids import default_path
 
 #: A document needs this share of letters in its main language, and stays below this toxicity score.
@@ -36,10 +36,12 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated lines, then repeated passages within lines, from texts; a document that has nothing left goes. Other columns stay as they are."""
-    cut = paragraphs.without_repeats(docs).filter((F.size("removed") == 0) | (F.trim("text") != ""))
-    lines = written(cut.select(*(F.col(f"`{c}`") for c in docs.columns)), "lines")
+    removed, blank = unused(docs, "_removed", "_blank")
+    cut = paragraphs.without_repeats(docs, removed=removed).filter((F.size(removed) == 0) | (F.trim("text") != ""))
+    lines = written(cut.drop(removed), "lines")
     # a first passage stays, so a text that is empty now was so before or has lost all its words
-    return passages.without_passages(lines.withColumn("_blank", F.trim("text") == "")).filter("_blank or text is null or trim(text) <> ''").drop("_blank")
+    left = passages.without_passages(lines.withColumn(blank, F.trim("text") == ""))
+    return left.filter(F.col(blank) | F.col("text").isNull() | (F.trim("text") != "")).drop(blank)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
