@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import U64, arrow, checkpoint, forget, mix, tidy, unused
+from skerry.llm.common import U64, arrow, checkpoint, forget, mix, unused, written
 from skerry.llm.shingles import MARKS, key_filter, sifted, word_hashes
 
 #: Words in a window, and in the runs that give it its print.
@@ -105,12 +105,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) as (doc_id, row_key, spans), a row for each document that loses words: the words [begin, end) of each span, which may overlap."""
     arrow(docs.sparkSession)
     texts = _texts(docs)
-    prints = checkpoint(texts.select("row_key", "text").mapInArrow(_prints, "row_key long, print long"))
+    # the two large tables go to Parquet, which is less than half of a checkpoint's size
+    prints = written(texts.select("row_key", "text").mapInArrow(_prints, "row_key long, print long"), "prints")
     several = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
     met = checkpoint(prints.join(several, "print").groupBy("row_key").agg(F.collect_set("print").alias("prints")))
     few = sifted(texts, "row_key", key_filter(met.select(F.col("row_key").alias("key")))).join(met, "row_key")
-    every = checkpoint(few.select("doc_id", "row_key", "text", "prints").mapInArrow(_windows, "doc_id long, row_key long, place int, one long, two long"))
-    tidy(docs.sparkSession)
+    every = written(few.select("doc_id", "row_key", "text", "prints").mapInArrow(_windows, "doc_id long, row_key long, place int, one long, two long"), "windows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "place")
     firsts = every.groupBy("one", "two").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = every.join(firsts, ["one", "two"]).filter(order != F.col("first"))
