@@ -260,7 +260,7 @@ def classes(rows: DataFrame, texts: DataFrame, weights: Weights | None, threshol
 
     Nodes meet their buckets' hubs; then the nodes of different classes in a bucket are compared, each with each.
     """
-    met = checkpoint(with_hubs(rows))
+    met = written(with_hubs(rows), "met")
     candidates = met.select("node", F.explode(F.array("low", "high")).alias("hub")).filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     bits = key_filter(wanted.withColumnRenamed("node", "key"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import U64, arrow, checkpoint, forget, mix, unused
+from skerry.llm.common import U64, arrow, forget, mix, unused, written
 from skerry.llm.neardup import band_keys, classes
 from skerry.llm.shingles import distinct_counts, shingles, word_hashes
 
@@ -74,7 +74,7 @@ def lines(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The places to remove: (doc_id, row_key, places), a row for each document that loses a paragraph."""
     arrow(docs.sparkSession)
-    every = checkpoint(signed(docs, threshold).select("doc_id", "row_key", "place", "node", "bands"))
+    every = written(signed(docs, threshold).select("doc_id", "row_key", "place", "node", "bands"), "signed")
     # each text once, however often a line is repeated
     rows = every.select("node", "bands").distinct().select("node", F.explode("bands").alias("bucket"))
     texts = lines(docs).select("node", F.col("para").alias("text"))
