@@ -49,7 +49,11 @@ class Index:
 
     def halves(self, asked: np.ndarray) -> np.ndarray:
         """Half the width of the windows at each widening, up to the last that isn't yet the whole of every array."""
-        first, widest = FIRST * self.spread, self.reach + float(np.abs(asked).max()) + 1.0
+        widest = self.reach + float(np.abs(asked).max()) + 1.0
+        first = max(FIRST * self.spread, 1e-12 * widest)
+        if not first < widest < math.inf:
+            # numbers so large that their squares overflow: one window of all
+            return np.array([math.inf])
         return first * WIDEN ** np.arange(max(1, math.ceil(math.log(widest / first, WIDEN))))
 
     def windows(self, asked: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

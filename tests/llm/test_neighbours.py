@@ -43,3 +43,36 @@ def test_ties_go_to_the_smaller_id():
     x[0] = 2
     found = qalsh.search(np.arange(30)[::-1].copy(), x, np.array([99]), np.ones((1, 8)), 5)
     assert [i for _, i, _ in found] == [0, 1, 2, 3, 4]
+
+
+def test_scattered_vectors_in_several_pieces():
+    x = np.random.default_rng(3).standard_normal((20_000, 16))
+    ids = np.arange(len(x))
+    asked = ids[::2000]
+    got = {}
+    for q, i, d in qalsh.search(ids, x, asked, x[asked], 10):
+        got.setdefault(int(q), []).append((d, i))
+    want = brute(ids.tolist(), x, asked.tolist(), 10)
+    assert recall(got, want) >= 0.9
+    assert all(found == sorted(found) and len(found) == 10 for found in got.values())
+    assert all(abs(d - np.sqrt(((x[q] - x[i]) ** 2).sum())) < 1e-12 for q, found in got.items() for d, i in found)
+
+
+def test_windows_count_each_place_once():
+    x = np.random.default_rng(4).standard_normal((500, 8))
+    index = qalsh.Index(x)
+    asked = x[:3] @ index.axes
+    halves = index.halves(asked)
+    low, high = index.windows(asked, halves)
+    places = x @ index.axes
+    for t, half in enumerate(halves):
+        inside = ((places[None] >= asked[:, None] - half) & (places[None] <= asked[:, None] + half)).sum(axis=1)
+        assert ((high - low)[:, t] == inside).all()
+    assert (np.diff(low, axis=1) <= 0).all() and (np.diff(high, axis=1) >= 0).all()
+
+
+def test_numbers_whose_squares_overflow():
+    x = np.eye(4) * 1e200
+    with np.errstate(all="ignore"):
+        found = qalsh.search(np.arange(4), x, np.array([0]), x[:1], 2)
+    assert [(i, d) for _, i, d in found] == [(1, np.inf), (2, np.inf)]
