@@ -1,8 +1,9 @@
 """Near-duplicate documents by improved consistent weighted sampling (ICWS).
 
-A document is the weighted set of its five-word shingles: weight = count x idf, idf = 1 + ln(N / df) / ln(N), from 1 to 2. df comes
-from counters over all documents (two rows of CELLS counters, the lesser counts, so df is never too low; where a
-counter is shared by many shingles the weight falls towards 1, for every document alike). ICWS draws samples that two documents share with
+A document is the weighted set of its five-word shingles: weight = count x idf, where idf = 1 + ln(N / df) / ln(N / m) from 1 to 2, and 2 for
+shingles of at most m documents; N is the number of documents, T that of all their distinct shingles, m = max(1, T / COMMON). Fewer than COMMON
+shingles can stand in more than m documents, so these are known with their exact df whatever the size of the corpus, and for large ones idf depends
+on the share of documents alone. Two rows of CELLS counters find them without loss: a counter is never below the df of a shingle that it counts. ICWS draws samples that two documents share with
 probability equal to their weighted Jaccard similarity; samples are banded, and documents that share a band are candidates.
 
 Within a band's bucket every document is first compared with two hubs drawn for the bucket. Where classes are still apart in a bucket, its
@@ -31,8 +32,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 8, 3
 #: Nodes and characters in a block when all of a bucket's are compared, and shingles in a matrix there.
 BLOCK, CHARS, _WIDE = 512, 4_000_000, 2048
-#: Counters in each of two rows.
-CELLS = 1 << 20
+#: Counters in each of two rows, and shingles above m at most.
+CELLS, COMMON = 1 << 20, 1 << 18
 
 
 def _cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,26 +41,45 @@ def _cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Weights:
-    """Shingle weights from the counters."""
+    """Shingle weights from the document frequencies of the shingles in more than `low` documents."""
 
-    def __init__(self, counts: np.ndarray, documents: int):
-        top = np.log(max(documents, 2))
-        self.idf = (1 + np.log(np.maximum(documents, 2) / np.clip(counts, 1, max(documents, 2))) / top).astype(np.float32)
+    def __init__(self, hashes: np.ndarray, df: np.ndarray, documents: int, low: float):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        spread = np.log(max(documents / low, 2))
+        self.idf = np.clip(1 + np.log(documents / df[order]) / spread, 1, 2).astype(np.float32)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        one, two = _cells(hashes)
-        return np.maximum(self.idf[one], self.idf[two])
+        if not len(self.hashes):
+            return np.full(len(hashes), 2, np.float32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.idf[at], np.float32(2))
 
 
 def corpus_weights(docs: DataFrame) -> Weights:
-    """Counts every document's distinct shingles; the driver gets 2 * CELLS numbers."""
+    """Counts every document's distinct shingles; the driver gets 2 * CELLS counters, then fewer than COMMON shingles with their exact df."""
+    spark = docs.sparkSession
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
 
     def which(batch: pa.RecordBatch) -> np.ndarray:
         hashes, _, _ = distinct_counts(*shingles(*word_hashes(batch.column(0))))
         return np.concatenate(_cells(hashes))
 
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    return Weights(count_cells(texts, 2 * CELLS, which), docs.count())
+    counters = count_cells(texts, 2 * CELLS, which)
+    low = max(1.0, float(counters[:CELLS].sum(dtype=np.int64)) / COMMON)
+    held = spark.sparkContext.broadcast(np.packbits(counters > low))
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        over = np.unpackbits(held.value).astype(bool)
+        for batch in batches:
+            hashes, _, _ = distinct_counts(*shingles(*word_hashes(batch.column(0))))
+            one, two = _cells(hashes)
+            found, n = np.unique(hashes[over[one] & over[two]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+
+    common = texts.mapInArrow(frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df")).filter(F.col("df") > low).toArrow()
+    return Weights(common.column("shingle").to_numpy().astype(U64), common.column("df").to_numpy(), docs.count(), low)
 
 
 @lru_cache(1)

@@ -175,3 +175,32 @@ def test_blocks_find_what_brute_force_finds(spark, monkeypatch):
                 p, q = sorted((find(i), find(j)))
                 of[q] = p
     assert {n: got.get(n, n) for n in of} == {n: find(n) for n in of} and len({find(n) for n in of}) > 5
+
+
+def test_document_frequencies_are_exact_whatever_shares_their_counters(spark, monkeypatch):
+    r = random.Random(3)
+    line = " ".join(words(r, 12))
+    texts = [" ".join([*words(r, 30), *([line] if k % 3 == 0 else [])]) for k in range(300)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    df = Counter(int(h) for t in texts for h in distinct_counts(*shingles.shingles(*word_hashes(pa.array([t]))))[0])
+    total = sum(df.values())
+    for common in (1 << 18, 200):  # every shingle of two documents counts, or those of more than m
+        monkeypatch.setattr(neardup, "COMMON", common)
+        weights, low = neardup.corpus_weights(docs), max(1, total / common)
+        assert {int(h) for h in weights.hashes} == {h for h, n in df.items() if n > low} and len(weights.hashes) < common
+        names = np.array(sorted(df), np.uint64)
+        want = [2 if df[int(h)] <= low else 1 + np.log(300 / df[int(h)]) / np.log(300 / low) for h in names]
+        assert np.allclose(weights.of(names), want, atol=1e-5)
+
+
+def test_weights_of_empty_and_wordless_tables(spark):
+    for rows in ([], [(1, None), (2, "")]):
+        weights = neardup.corpus_weights(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert (weights.of(np.array([5], np.uint64)) == 2).all() and not len(weights.of(np.zeros(0, np.uint64)))
+
+
+def test_weights_depend_on_shares_alone():
+    one = neardup.Weights(np.array([9, 4], np.uint64), np.array([500, 40]), 1000, 2.0)
+    large = neardup.Weights(np.array([9, 4], np.uint64), np.array([500_000_000, 40_000_000]), 1_000_000_000, 2e6)
+    asked = np.array([4, 9, 7], np.uint64)
+    assert np.allclose(one.of(asked), large.of(asked)) and one.of(asked)[2] == 2 and 1 < one.of(asked)[1] < one.of(asked)[0] < 2
