@@ -8,6 +8,7 @@ import gc
 import re
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +80,20 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     path = new_folder(df.sparkSession, kind)
     df.write.parquet(path)
     tidy(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[back] = path
+    return back
+
+
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `written` gave, once all that is made of them is itself written or checkpointed. Other tables stay."""
+    for df in tables:
+        if path := _FOLDERS.pop(df, None):
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def width(spark: SparkSession) -> int:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import U64, arrow, checkpoint, forget, mix, tidy, unused, written
+from skerry.llm.common import U64, arrow, checkpoint, forget, mix, release, tidy, unused, written
 from skerry.llm.graph import components
 from skerry.llm.shingles import HASH_BITS, count_cells, distinct_counts, key_filter, shingles, sifted, word_hashes
 
@@ -288,10 +288,10 @@ def classes(rows: DataFrame, texts: DataFrame, weights: Weights | None, threshol
     needed = written(needed.join(wanted, "node", "left_semi"), "texts")
     roots = components(verified(candidates, needed, weights, threshold))
     left = checkpoint(open_rows(met.filter("node <> low and node <> high").select("bucket", "node"), roots))
-    if left.isEmpty():
-        return roots
-    more = checkpoint(open_links(left, needed, weights, threshold))
-    if more.isEmpty():
+    release(met)
+    more = None if left.isEmpty() else checkpoint(open_links(left, needed, weights, threshold))
+    release(needed)
+    if more is None or more.isEmpty():
         return roots
     # the classes so far are stars, so little is left to do
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import U64, arrow, forget, mix, unused, written
+from skerry.llm.common import U64, arrow, forget, mix, release, unused, written
 from skerry.llm.neardup import band_keys, classes
 from skerry.llm.shingles import distinct_counts, shingles, word_hashes
 
@@ -84,7 +84,9 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classed = every.select("doc_id", "row_key", "place", "node").join(roots, "node", "left").select("doc_id", "row_key", "place", F.coalesce("root", "node").alias("root"))
     keep = classed.groupBy("root").agg(F.min(order).alias("keep"), F.count("*").alias("n")).filter("n > 1").select("root", "keep")
     gone = classed.join(keep, "root").filter(order != F.col("keep"))
-    return gone.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    places = written(gone.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("place")).alias("places")), "places")
+    release(every)
+    return places
 
 
 def without_repeats(docs: DataFrame, threshold: float = THRESHOLD, removed: str = "removed") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import U64, arrow, checkpoint, forget, mix, unused, written
+from skerry.llm.common import U64, arrow, checkpoint, forget, mix, release, unused, written
 from skerry.llm.shingles import MARKS, key_filter, sifted, word_hashes
 
 #: Words in a window, and in the runs that give it its print.
@@ -109,6 +109,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     prints = written(texts.select("row_key", "text").mapInArrow(_prints, "row_key long, print long"), "prints")
     several = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
     met = checkpoint(prints.join(several, "print").groupBy("row_key").agg(F.collect_set("print").alias("prints")))
+    release(prints)
     few = sifted(texts, "row_key", key_filter(met.select(F.col("row_key").alias("key")))).join(met, "row_key")
     every = written(few.select("doc_id", "row_key", "text", "prints").mapInArrow(_windows, "doc_id long, row_key long, place int, one long, two long"), "windows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "place")
