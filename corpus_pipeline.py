@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm import langid, neardup, packing, paragraphs, passages, toxicity
-from skerry.llm.common import crc_of_id, table, unused, written
+from skerry.llm.common import crc_of_id, release, table, unused, written
 from skerry.llm.wordids import default_path
 
 #: A document needs this share of letters in its main language, and stays below this toxicity score.
@@ -64,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
