@@ -158,6 +158,10 @@ def forget() -> None:
         only(None, lambda: None)
 
 
+#: Words that a memory learns at a time.
+SLICE = 1 << 14
+
+
 class Memo(dict):
     """Word -> value, filled in bulk by `fill(words)`; starts anew beyond `most` words, so memory is bounded."""
 
@@ -171,7 +175,8 @@ class Memo(dict):
         if len(self) + len(new) > self.most:
             self.clear()
             new = list(words)
-        if new:
-            self.update(zip(new, self.fill(new), strict=True))
+        for a in range(0, len(new), SLICE):  # what fill needs for a while depends on SLICE alone
+            part = new[a : a + SLICE]
+            self.update(zip(part, self.fill(part), strict=True))
 
 
