@@ -25,6 +25,8 @@ from skerry.llm.shingles import MARKS, key_filter, sifted, word_hashes
 
 #: Words in a window, and in the runs that give it its print.
 PASSAGE, PRINT = 50, 25
+#: Rows whose windows are made at a time.
+PART = 512
 _STEPS = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -78,16 +80,23 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, as a text has many windows."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, PART):
+            yield batch.slice(a, PART)
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forget()
-    for batch in batches:
+    for batch in _parts(batches):
         prints, of = print_places(*word_hashes(batch.column("text")))
         yield pa.RecordBatch.from_arrays([batch.column("row_key").take(pa.array(of)), pa.array(prints.view(np.int64))], ["row_key", "print"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forget()
-    for batch in batches:
+    for batch in _parts(batches):
         words, ends = word_hashes(batch.column("text"))
         at, of, prints = windows(words, ends)
         lists = batch.column("prints")
