@@ -152,6 +152,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
     of, row, spans = unused(docs, "_of", "_row", "_spans")
     found = repeated_spans(docs).select(F.col("doc_id").alias(of), F.col("row_key").alias(row), F.col("spans").alias(spans))
     joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(row)), "left")
-    changed = F.udf(cut, "string")(F.when(F.col(spans).isNotNull(), F.col("text")), F.col(spans))
+    # as no filter on text may move below it, it runs once a row; run twice in a task it would take a second Python worker, which stays and fills a memory of its own
+    changed = F.udf(cut, "string").asNondeterministic()(F.when(F.col(spans).isNotNull(), F.col("text")), F.col(spans))
     text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(changed).alias("text")
     return joined.select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns))

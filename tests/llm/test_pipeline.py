@@ -37,6 +37,14 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(empty(docs, tmp_path))).count() == 0
 
 
+def test_passages_are_cut_once(spark):
+    passage, head, tail = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("w", 70), ("a", 40), ("b", 40)))
+    docs = spark.createDataFrame([(1, passage), (2, f"{head} {passage} {tail}"), (3, passage), (4, None), (5, " ")], "doc_id long, text string")
+    left = corpus_pipeline.without_repeated_paragraphs(spark, docs, "")
+    assert left._jdf.queryExecution().executedPlan().toString().count("BatchEvalPython") == 1
+    assert {r.doc_id: r.text for r in left.collect()} == {1: passage, 2: f"{head} {tail}", 4: None, 5: " "}
+
+
 def empty(docs, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     docs.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
