@@ -125,10 +125,12 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     n, k = scores.shape
     sums = np.cumsum(scores, axis=0, dtype=np.float64)
     best = int(np.argmax(sums[-1]))
-    # A run of another language must gain more than one change costs; where none can, one language is the best path.
+    # Beside runs of the best language each other run costs a change, so it must gain more than that. Without any, n runs cost n - 1 changes,
+    # so the first and the last together must gain more than one. Where neither can be, one language is the best path.
     ahead = sums - sums[:, best : best + 1]
     lowest = np.minimum.accumulate(np.vstack([np.zeros(k), ahead[:-1]]), axis=0)
-    if (ahead - lowest).max() <= switch:
+    ends = ahead.max() + (ahead[-1] - lowest[-1]).max()
+    if (ahead - lowest).max() <= switch and ends <= switch:
         return np.full(n, best)
     back = np.empty((n, k), np.int64)
     value, own = scores[0].astype(np.float64), np.arange(k)

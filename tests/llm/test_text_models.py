@@ -79,6 +79,13 @@ def test_viterbi_is_the_best_path(scores, switch):
     assert abs(worth(langid.viterbi(s, switch).tolist()) - best) < 1e-4
 
 
+def test_viterbi_without_the_language_of_the_best_sum():
+    assert langid.viterbi(np.array([[0, -3, -1], [-4, -1, -2]], np.float32), 1.0).tolist() == [0, 1]
+    # a text half in the first language and half in the second, where the third is second best throughout
+    halves = np.repeat(np.array([[0, -7, -3], [-7, 0, -3]], np.float32), 4, axis=0)
+    assert langid.viterbi(halves, 14.0).tolist() == [0] * 4 + [1] * 4
+
+
 def subsequences(s, n):
     for at in itertools.combinations(range(len(s)), n):
         yield "".join(s[i] for i in at), at[-1] - at[0] + 1
