@@ -49,6 +49,16 @@ def test_plans(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_estimates_are_not_grouped_by_key(spark, tmp_path):
+    plan = QUERIES["approx_cardinality"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "HashAggregate(" in line and "approx_count_distinct" in line and "keys=[]" not in line]
+    assert "approx_count_distinct" in plan and "Expand" not in plan and not grouped
+    made = spark.sql("select id % 50 o_custkey, if(id % 3 = 0, null, id) o_orderkey from range(9000) union all select null, null")
+    for name, rows, want in (("some", made, (True, True)), ("none", made.limit(0), (True, True)), ("nulls", made.filter("o_custkey is null"), (True, True))):
+        rows.write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        assert [tuple(x) for x in QUERIES["approx_cardinality"](spark, f"{tmp_path}/{name}").collect()] == [want]
+
+
 def test_entry_without_the_llm_folder(tmp_path):
     import shutil
     import subprocess
