@@ -23,7 +23,8 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cached_property
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -60,12 +61,14 @@ def units_of(word: str) -> list[str]:
 
     A word with marks between its letters gives those of its letters alone as well, for the kernel bridges only gaps within a window.
     """
-    w = _EDGES.sub("", word.lower())
+    w = word.lower()
+    if not w.isalnum():
+        w = _EDGES.sub("", w)
     if len(w) < 3:
         return []
-    bare = w if w.isalnum() else "".join(filter(str.isalnum, w))
+    forms = (BEGIN + w,) if w.isalnum() else dict.fromkeys((BEGIN + w, BEGIN + "".join(filter(str.isalnum, w))))
     step = WINDOW // 3
-    return [x[a : a + WINDOW] for x in dict.fromkeys((BEGIN + w, BEGIN + bare)) for a in range(0, max(1, len(x) - WINDOW + step), step)]
+    return [x[a : a + WINDOW] for x in forms for a in range(0, max(1, len(x) - WINDOW + step), step)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -82,8 +85,8 @@ def joined(text: str) -> list[str]:
 def codes(strings: list[str], size: int) -> np.ndarray:
     """Code points, padded with -1."""
     out = np.full((len(strings), size), -1, np.int32)
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = [ord(c) for c in s]
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    out[np.arange(size) < lengths[:, None]] = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4")
     return out
 
 
@@ -151,8 +154,54 @@ class Model:
     shift: float
     floor: float
 
+    @cached_property
+    def subsequences(self) -> tuple[np.ndarray, ...]:
+        """What each subsequence adds to the margin of a unit that has it, over all landmarks.
+
+        The letters of landmarks in order; the number of each pair of them (by place in letters + 1; 0 stands for all others) that a landmark has; what a
+        pair adds, by number; what a pair adds with a third letter after it, by number and letter. At most some thousand pairs, as landmarks are few and short.
+        """
+        letters = sorted(set(map(ord, "".join(self.landmarks))))
+        place = {c: k for k, c in enumerate(letters, 1)}
+        twos, threes = defaultdict(float), defaultdict(float)
+        for t, weight in zip(self.landmarks, self.weights.tolist(), strict=True):
+            c = codes([t], len(t))
+            weight /= np.sqrt(max(float(_kernel(c, c)[0]), 1e-12))
+            at = [place[ord(x)] for x in t]
+            for i, j in combinations(range(len(t)), 2):
+                twos[at[i], at[j]] += PAIRS * DECAY ** (j - i + 1) * weight
+                for k in range(j + 1, len(t)):
+                    threes[at[i], at[j], at[k]] += DECAY ** (k - i + 1) * weight
+        number = {p: k for k, p in enumerate(twos, 1)}
+        size = len(letters) + 1
+        pair, two, three = np.zeros((size, size), np.int64), np.zeros(len(number) + 1), np.zeros((len(number) + 1, size))
+        for (a, b), k in number.items():
+            pair[a, b], two[k] = k, twos[a, b]
+        for (a, b, c), v in threes.items():
+            three[number[a, b], c] = v
+        return np.array(letters, np.int32), pair, two, three
+
     def margins(self, units: list[str]) -> np.ndarray:
-        return kernel(units, self.landmarks) @ self.weights + self.bias
+        """kernel(units, self.landmarks) @ self.weights + self.bias; the sum over landmarks is made once for each subsequence, not for each unit."""
+        letters, pair, two, three = self.subsequences
+        out, by_length = np.zeros(len(units)), defaultdict(list)
+        for i, s in enumerate(units):
+            by_length[len(s)].append(i)
+        for n, which in by_length.items():
+            for a in range(0, len(which), 4096):
+                part = which[a : a + 4096]
+                u = codes([units[i] for i in part], n)
+                near = np.minimum(np.searchsorted(letters, u), max(len(letters) - 1, 0))
+                at = np.ascontiguousarray(np.where(letters[near] == u, near + 1, 0).T) if len(letters) else np.zeros(u.T.shape, np.int64)
+                total = np.zeros(len(part))
+                for i, j in combinations(range(n), 2):
+                    p = pair[at[i], at[j]]
+                    total += two[p] * DECAY ** (j - i + 1)
+                    row = p * three.shape[1]
+                    for k in range(j + 1, n):
+                        total += three.ravel()[row + at[k]] * DECAY ** (k - i + 1)
+                out[part] = total / np.sqrt(np.maximum(_kernel(u, u), 1e-12))
+        return out + self.bias
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.tanh(margin) + self.shift, -40, 40)))

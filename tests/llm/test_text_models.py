@@ -101,6 +101,31 @@ def test_string_kernel(a, b):
     assert abs(toxicity.kernel([a, b], [b])[0, 0] - want) < 1e-4 and abs(toxicity.kernel([a], [a])[0, 0] - 1) < 1e-5
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcü🙂\x02", min_size=1, max_size=9), max_size=6), st.lists(st.text("abcdü🙂\x02", min_size=1, max_size=11), max_size=12), st.randoms())
+def test_margins_are_kernel_sums(landmarks, units, r):
+    weights = np.array([r.uniform(-3, 3) for _ in landmarks], np.float32)
+    got = toxicity.Model(landmarks, weights, 0.25, 1.0, 0.0, -2.0).margins(units)
+    assert got.shape == (len(units),) and np.allclose(got, toxicity.kernel(units, landmarks) @ weights + 0.25, atol=1e-4)
+
+
+def test_margins_cost_the_same_for_more_landmarks(monkeypatch):
+    r, cells, plain = random.Random(2), [], toxicity._kernel
+    made = lambda n: sorted({"".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(n)})
+    units = made(500)
+
+    def counted(u, t):
+        cells.append(int(np.prod(np.broadcast_shapes(u.shape[:-1], t.shape[:-1]))))
+        return plain(u, t)
+
+    monkeypatch.setattr(toxicity, "_kernel", counted)
+    for n in (5, 40):
+        landmarks = made(n)
+        toxicity.Model(landmarks, np.ones(len(landmarks), np.float32), 0.0, 1.0, 0.0, -2.0).margins(units)
+        assert sum(cells) <= len(units) + len(landmarks)
+        cells.clear()
+
+
 INSULTS = ("blockhead", "numbskull", "dimwit")
 
 
