@@ -33,7 +33,7 @@ LONG = 128
 #: Units that go side by side.
 CHUNK = 1 << 14
 #: Texts that are encoded together; their working memory is many times their size.
-TOGETHER = 800
+TOGETHER = 2500
 
 
 def default_path() -> str:
@@ -55,6 +55,7 @@ class Vocabulary:
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
         self.ids = {names[i]: i for i in plain}
         self.score = np.array([model.get_score(i) for i in range(size)], np.float32)
+        self.worth = np.append(self.score, np.float32(-np.inf))  # that of no piece, -1, is the last
         self.byte = np.array([bytes_of[b] for b in range(256)], np.int64)
         self.of_char = np.full(0x110000, -1, np.int32)
         for name, i in self.ids.items():
@@ -69,10 +70,10 @@ class Vocabulary:
                     pairs[a << 16 | b] = i
         self.pairs = pairs
         # open addressing, for looking up many pairs at once
-        self.mask = (1 << 20) - 1
+        bits = max(12, (4 * len(pairs)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, U64(64 - bits)
         self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
-        for key, i in pairs.items():
-            at = int(mix(np.array([key], U64))[0]) & self.mask
+        for (key, i), at in zip(pairs.items(), self._cells(np.fromiter(pairs, np.int64, len(pairs))).tolist(), strict=True):
             while self.keys[at] >= 0:
                 at = (at + 1) & self.mask
             self.keys[at], self.values[at] = key, i
@@ -85,18 +86,27 @@ class Vocabulary:
         self.text_size = np.array([len(t) for t in texts], np.int64)
         self.text_at = np.cumsum(self.text_size) - self.text_size
 
+    def _cells(self, key: np.ndarray) -> np.ndarray:
+        """Where in the table the search for each key begins."""
+        with np.errstate(over="ignore"):
+            return (key.view(U64) * U64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
     def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair makes, or -1; negative symbols make none."""
-        key = a.astype(np.int64) << 16 | b
-        key[(a < 0) | (b < 0)] = 1 << 40
-        at = (mix(key.view(U64)) & U64(self.mask)).astype(np.int64)
-        out, open_ = np.full(len(key), -1, np.int32), np.arange(len(key))
+        key = a << 16 | b  # negative where a symbol is, and so in no cell of the table; -1 marks its free cells, which hold -1
+        at = self._cells(key)
+        there = self.keys.take(at)
+        hit = there == key
+        out = np.where(hit, self.values.take(at), np.int32(-1))
+        open_ = np.flatnonzero(~hit & (there >= 0))
+        at = at[open_]
         while len(open_):
-            there = self.keys[at[open_]]
+            at = (at + 1) & self.mask
+            there = self.keys.take(at)
             hit = there == key[open_]
-            out[open_[hit]] = self.values[at[open_[hit]]]
-            open_ = open_[~hit & (there >= 0)]
-            at[open_] = (at[open_] + 1) & self.mask
+            out[open_[hit]] = self.values.take(at[hit])
+            more = ~hit & (there >= 0)
+            open_, at = open_[more], at[more]
         return out
 
 
@@ -144,48 +154,57 @@ def lockstep(v: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, keys: np.n
     merged after the last of them are returned too: their units and names, by unit and then in order.
     """
     units, columns = symbols.shape
-    sym = symbols.copy()
-    place = np.arange(columns)
-    alive = place[None, :] < lengths[:, None]
-    right = np.where(place[None, :] + 1 < lengths[:, None], place[None, :] + 1, columns)
-    left = np.broadcast_to(place - 1, sym.shape).copy()
-    end = np.broadcast_to(place + 1, sym.shape).copy()
-    made = np.full((units, columns), -1, np.int32)
-    made[:, :-1] = v.join(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(units, -1)
-    score = np.where(made >= 0, v.score[made], -np.inf).astype(np.float32)
-    rows = np.arange(units)
+    # cells in one line, a unit after the other, with an empty cell (-1, which joins nothing) behind each; what lies before the first is the last of these
+    width = columns + 1
+    grid = np.full((units, width), -1, np.int64)
+    grid[:, :columns] = symbols
+    sym, place = grid.ravel(), np.arange(units * width)
+    live = np.zeros((units, width), bool)
+    live[:, :columns] = np.arange(columns) < lengths[:, None]
+    alive, right, left = live.ravel(), place + 1, place - 1
+    end = np.tile(np.arange(1, width + 1), units)
+    made = np.full(units * width, -1, np.int32)
+    made[:-1] = v.join(sym[:-1], sym[1:])
+    score = v.worth.take(made)
+    table, rows = score.reshape(units, width), np.arange(units)
     if forced is not None:
         forced = np.concatenate([forced, np.full((units, 1), -1, np.int64)], axis=1)
+        free = forced.shape[1] == 1
         passed, trace = np.zeros(units, np.int64), []
     while len(rows):
-        i = np.argmax(score[rows], axis=1)
-        some = score[rows, i] > -np.inf
-        rows, i = rows[some], i[some]
-        if not len(rows):
-            break
-        j = right[rows, i]
-        if forced is None:
-            skip = skipped(keys[rows], i, end[rows, j], rate)
+        i = np.argmax(table.take(rows, axis=0), axis=1)
+        cell = rows * width + i
+        some = score.take(cell) > -np.inf
+        if not some.all():
+            rows, i, cell = rows[some], i[some], cell[some]
+            if not len(rows):
+                break
+        other = right.take(cell)
+        stop = end.take(other)
+        if forced is not None and free:
+            trace.append((rows, i * 256 + stop))
         else:
-            name = i * 256 + end[rows, j]
-            skip = name == forced[rows, passed[rows]]
-            passed[rows[skip]] += 1
-            late = ~skip & (passed[rows] == forced.shape[1] - 1)
-            trace.append((rows[late], name[late]))
-        score[rows[skip], i[skip]] = -np.inf
-        r, i, j = rows[~skip], i[~skip], j[~skip]
-        sym[r, i], end[r, i] = made[r, i], end[r, j]
-        alive[r, j] = False
-        score[r, j] = -np.inf
-        k = right[r, j]
-        right[r, i] = k
-        inner = k < columns
-        left[r[inner], k[inner]] = i[inner]
-        for rr, a, b in ((r[inner], i[inner], k[inner]), *(((r[o], left[r[o], i[o]], i[o]) for o in [left[r, i] >= 0]))):
-            m = v.join(sym[rr, a], sym[rr, b])
-            made[rr, a] = m
-            score[rr, a] = np.where(m >= 0, v.score[m], -np.inf)
-        score[r[~inner], i[~inner]] = -np.inf
+            if forced is None:
+                skip = skipped(keys[rows], i, stop, rate)
+            else:
+                name = i * 256 + stop
+                skip = name == forced[rows, passed[rows]]
+                passed[rows[skip]] += 1
+                late = ~skip & (passed[rows] == forced.shape[1] - 1)
+                trace.append((rows[late], name[late]))
+            score[cell[skip]] = -np.inf
+            cell, other, stop = cell[~skip], other[~skip], stop[~skip]
+        sym[cell], end[cell] = made.take(cell), stop
+        alive[other] = False
+        score[other] = -np.inf
+        after, before = right.take(other), left.take(cell)
+        right[cell] = after
+        left[after] = cell
+        first, second = np.concatenate([cell, before]), np.concatenate([after, cell])
+        m = v.join(sym.take(first), sym.take(second))
+        made[first] = m
+        score[first] = v.worth.take(m)
+    sym, alive = grid[:, :columns], live[:, :columns]
     if forced is None:
         return sym, alive
     of, names = (np.concatenate([np.zeros(0, np.int64), *(t[k] for t in trace)]) for k in (0, 1))

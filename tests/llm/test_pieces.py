@@ -51,6 +51,35 @@ def test_lockstep_is_the_agenda(word, key, rate):
     assert sym[alive].tolist() == pieces.agenda(v, symbols, key, rate)
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="athenorisg", min_size=1, max_size=20), min_size=1, max_size=8), st.lists(st.integers(-0x110002, -1), max_size=4))
+def test_many_units_at_once(words, strange):
+    v = coder().v
+    units = [[v.space, *(int(v.of_char[ord(c)]) for c in w)] for w in words] + [[v.space, x, x, v.space] for x in strange]
+    n = np.array(list(map(len, units)))
+    dense = np.full((len(units), n.max()), -1, np.int64)
+    for row, u in zip(dense, units, strict=True):
+        row[: len(u)] = u
+    keys = np.arange(len(units), dtype=np.uint64)
+    sym, alive = pieces.lockstep(v, dense, n, keys, 0.2)
+    assert [s[a].tolist() for s, a in zip(sym, alive, strict=True)] == [pieces.agenda(v, u, k, 0.2) for k, u in enumerate(units)]
+
+
+def test_pairs_are_found():
+    v, r = coder().v, np.random.default_rng(5)
+    a, b = (np.concatenate([[k >> 16 for k in v.pairs] if left else [k & 65535 for k in v.pairs], r.integers(-0x110002, 32000, 20_000), [-1, -1, 5]]) for left in (True, False))
+    want = [v.pairs.get(x << 16 | y, -1) if min(x, y) >= 0 else -1 for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert v.join(a, b).tolist() == want and sum(x >= 0 for x in want) >= len(v.pairs)
+
+
+def test_pairs_are_looked_up_once_a_round(monkeypatch):
+    v, calls, plain = coder().v, [], pieces.Vocabulary.join
+    symbols = np.array([[v.space, *(int(v.of_char[ord(c)]) for c in w)] for w in ("internationalisation", "understandablenesses")])
+    monkeypatch.setattr(pieces.Vocabulary, "join", lambda self, a, b: calls.append(len(a)) or plain(self, a, b))
+    _, alive = pieces.lockstep(v, symbols, np.array([21, 21]), None, 0.0, np.zeros((2, 0), np.int64))[:2]
+    assert len(calls) == 1 + (21 - alive.sum(axis=1)).max()
+
+
 def test_dropout_varies_and_repeats():
     text = ["internationalisation of the understanding " * 40]
     one, two, other = encode(coder(0.3), text), encode(coder(0.3), text), encode(coder(0.3, 2), text)
